@@ -26,6 +26,7 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
