@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import components, packing, spans, tokens
+from tracewright.llm import components, packing, pages, spans, tokens, transcripts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.same_records(spark.read.parquet(f"{sf_dir}/semantic_assertion.parquet"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Furniture, broken and misread words and continued paragraphs of all pages."""
+    return pages.findings(spark.read.parquet(f"{sf_dir}/pdf_page_text.parquet"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_id, utterance_index, turn_first, word_count of every utterance with spoken words."""
+    t = transcripts.speaker_turns(spark.read.parquet(f"{sf_dir}/audio_output.parquet"))
+    return t.select("media_id", "utterance_index", "turn_first", "word_count")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids of every document by byte_bpe_50k, without special tokens."""
     return tokens.encode_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
@@ -28,7 +39,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_chars(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 200)
 
 
-QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 SQL = {
     "p1_found": r"""
