@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import components, packing, pages, spans, tokens, transcripts
+from tracewright.llm import components, names, packing, pages, spans, tokens, transcripts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.findings(spark.read.parquet(f"{sf_dir}/pdf_page_text.parquet"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_ref, mention_id of every mention that means a registered entity of its work."""
+    state = spark.read.parquet(f"{sf_dir}/current_state.parquet").where("predicate = 'CANONICAL_IDENTITY'")
+    registry = state.select("entity_ref", "work_id", "display_label", "aliases", (F.get_json_object("object_ref", "$.canonical_type") == "organisation").alias("organisation"))
+    mentions = spark.read.parquet(f"{sf_dir}/source_mention.parquet")
+    return names.link_mentions(mentions, registry, spark.read.parquet(f"{sf_dir}/name_short_form.parquet")).select("entity_ref", "mention_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_id, utterance_index, turn_first, word_count of every utterance with spoken words."""
     t = transcripts.speaker_turns(spark.read.parquet(f"{sf_dir}/audio_output.parquet"))
@@ -39,7 +48,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_chars(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 200)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 SQL = {
     "p1_found": r"""
