@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import general
+from tracewright.plans import folds, general
 
-_MODULES = (general,)
+_MODULES = (general, folds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
