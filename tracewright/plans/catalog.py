@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import folds, general
+from tracewright.plans import folds, general, texts
 
-_MODULES = (general, folds)
+_MODULES = (general, folds, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
