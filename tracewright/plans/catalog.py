@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import folds, general, texts
+from tracewright.plans import folds, general, matching, texts
 
-_MODULES = (general, folds, texts)
+_MODULES = (general, folds, texts, matching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
