@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +26,16 @@ def stage_edges(spark: SparkSession) -> DataFrame:
 
 
 def descendants(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """root, stage, distance: all that depends on a stage, at its least distance. edges: stage, depends_on."""
-    step = edges.select(F.col("depends_on").alias("root"), "stage", F.lit(1).alias("distance"))
-    found, front = step, step
-    for n in range(2, depth + 1):
-        front = front.select("root", F.col("stage").alias("at")).join(edges, F.col("at") == F.col("depends_on")).select("root", "stage").distinct().withColumn("distance", F.lit(n))
-        front = front.join(found.select("root", "stage"), ["root", "stage"], "left_anti")
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found.groupBy("root", "stage").agg(F.min("distance").alias("distance"))
+    """root, stage, distance: all that depends on a stage, at its least distance. edges: stage, depends_on, without a cycle."""
+    spark, view = edges.sparkSession, f"stage_edges_{uuid.uuid4().hex}"
+    edges.select("stage", "depends_on").distinct().createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH RECURSIVE r(root, stage, distance) AS (
+          SELECT depends_on, stage, 1 FROM {view}
+          UNION ALL
+          SELECT r.root, e.stage, r.distance + 1 FROM r JOIN {view} e ON e.depends_on = r.stage WHERE r.distance < {int(depth)}
+        )
+        SELECT root, stage, min(distance) AS distance FROM r GROUP BY root, stage""")
 
 
 def unaffected(edges: DataFrame) -> DataFrame:

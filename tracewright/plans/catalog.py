@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import folds, general, matching, texts
+from tracewright.plans import folds, general, matching, surface, texts
 
-_MODULES = (general, folds, texts, matching)
+_MODULES = (general, folds, texts, matching, surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
