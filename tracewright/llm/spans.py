@@ -14,7 +14,7 @@ hash: for verbatim spans one is enough, and it misses none.
 The spans are then checked exactly. Windows whose whole stretch of text (the
 starts of all its spans) is the same in two texts are shared as a whole. Of the
 others only those whose minimum occurs in another text are looked into, start by
-start, with a 128-bit hash of the span. Nothing is ever paired: for each hash the
+start, with a 96-bit hash of the span. Nothing is ever paired: for each hash the
 smallest and the largest id tell whether a second text has it, and they are
 aggregated before the shuffle.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import written
+from tracewright.session import discard, written
 
 GRAM = 64
 #: Code points hashed at once; longer texts are cut into overlapping parts.
@@ -104,7 +104,7 @@ def _leftmost_minimum(h: np.ndarray, t: int) -> np.ndarray:
 
 
 def compact_windows(texts: list[str | None], length: int) -> dict[str, np.ndarray]:
-    """row, g (hash of the minimum), c1 and c2 (hash of the stretch), lo, hi (first and last start)."""
+    """row, g (hash of the minimum), c1 and c2 (hash of the stretch, 96 bits), lo, hi (first and last start)."""
     t = length - GRAM + 1
     got: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "g", "c1", "c2", "lo", "hi")}
     for codes, places in _parts(texts, length):
@@ -139,13 +139,13 @@ def compact_windows(texts: list[str | None], length: int) -> dict[str, np.ndarra
         hi = hi[np.append(k[1:], len(lo)) - 1]
         row = np.array([x[0] for x in places])[part[k]]
         shift = np.array([x[1] - x[2] for x in places])[part[k]]
-        for name, v in (("row", row), ("g", gh[k].view(np.int64)), ("c1", c[0][k].view(np.int64)), ("c2", c[1][k].view(np.int64)), ("lo", lo[k] + shift), ("hi", hi + shift)):
+        for name, v in (("row", row), ("g", gh[k].view(np.int64)), ("c1", c[0][k].view(np.int64)), ("c2", c[1][k].view(np.int64) >> 32), ("lo", lo[k] + shift), ("hi", hi + shift)):
             got[name].append(v)
     return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in got.items()}
 
 
 def span_hashes(text: str, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of text[s : s + length], for each start."""
+    """Two independent hashes of text[s : s + length], of 64 and 32 bits, for each start."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     one, two = np.empty(len(starts), dtype=np.uint64), np.empty(len(starts), dtype=np.uint64)
     for at in range(0, len(codes), PART):
@@ -154,7 +154,7 @@ def span_hashes(text: str, starts: np.ndarray, length: int) -> tuple[np.ndarray,
             part = codes[at : at + PART + length]
             for seed, out in ((0, one), (1, two)):
                 out[sel] = _span_hash(_grams(part, seed), starts[sel] - at, length, seed)
-    return one.view(np.int64), two.view(np.int64)
+    return one.view(np.int64), (two.view(np.int64) >> 32).astype(np.int32)
 
 
 def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200) -> DataFrame:
@@ -173,11 +173,12 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200)
         for batch in batches:
             w = compact_windows(batch.column(1).to_pylist(), length)
             ids = batch.column(0).take(pa.array(w["row"]))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(w[k]) for k in ("g", "c1", "c2")), *(pa.array(w[k].astype(np.int32)) for k in ("lo", "hi"))], names=["i", "g", "c1", "c2", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(w[k]) for k in ("g", "c1")), *(pa.array(w[k].astype(np.int32)) for k in ("c2", "lo", "hi"))], names=["i", "g", "c1", "c2", "lo", "hi"])
 
-    w = written(base.mapInArrow(windows, f"i {kind}, g bigint, c1 bigint, c2 bigint, lo int, hi int"), "windows")
+    w = written(base.mapInArrow(windows, f"i {kind}, g bigint, c1 bigint, c2 int, lo int, hi int"), "windows")
     met = w.groupBy("g").agg(F.min("i").alias("x"), F.max("i").alias("y")).where("x < y").select("g")
     cand = written(w.join(met, "g", "left_semi"), "met")
+    discard(w)
 
     stretch = cand.groupBy("g", "c1", "c2").agg(F.min(F.struct("i", "lo", "hi")).alias("first"), F.max("i").alias("y"))
     stretch = stretch.select("g", "c1", "c2", "first", (F.col("first.i") < F.col("y")).alias("many"))
@@ -201,10 +202,13 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200)
                     ids = batch.column(0).take(pa.array(np.full(len(starts), n)))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.full(len(starts), many))], names=["i", "s", "h1", "h2", "many"])
 
-    single = written(base.join(asked, "i").select("i", "t", "asked").mapInArrow(spans, f"i {kind}, s int, h1 bigint, h2 bigint, many boolean"), "spans")
+    single = written(base.join(asked, "i").select("i", "t", "asked").mapInArrow(spans, f"i {kind}, s int, h1 bigint, h2 int, many boolean"), "spans")
     twice = single.groupBy("h1", "h2").agg(F.min("i").alias("x"), F.max("i").alias("y"), F.max("many").alias("m")).where("x < y or m").select("h1", "h2")
     part = single.where("not many").join(twice, ["h1", "h2"], "left_semi").select("i", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    return whole.unionByName(part).select(F.col("i").alias(id_col), "lo", "hi")
+    out = written(whole.unionByName(part), "shared")
+    discard(cand)
+    discard(single)
+    return out.select(F.col("i").alias(id_col), "lo", "hi")
 
 
 def shared_chars(docs: DataFrame, id_col: str, text_col: str, length: int = 200) -> DataFrame:
