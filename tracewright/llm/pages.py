@@ -55,7 +55,7 @@ def _letters(s: str) -> str:
 
 def close_up(line: str) -> str:
     """A line set with a space between all its letters, without these."""
-    parts = line.split()
+    parts = line.split() if len(line) < 400 else []
     if len(parts) > 3 and sum(len(x) == 1 for x in parts) >= 0.8 * len(parts):
         lead = len(line) - len(line.lstrip())
         return line[:lead] + regex.sub(r" {2,}", lambda m: " " * max(1, len(m[0]) - 2), _SPACED.sub("", line[lead:]))
@@ -447,15 +447,10 @@ def _plain(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}!|]+|[^\p{L}\p{N}]+$", "")
 
 
-def findings(pages: DataFrame) -> DataFrame:
-    """page_id, line_no, line_kind, word: every place where a page's text is not the book's.
-
-    'furniture': a running line or page number. 'hyphen': the line a broken
-    word begins on, and the whole word. 'misread': a line with a misread word,
-    and the true word. 'continues': the first line of text of a page that goes
-    on with the paragraph before. See `labelled` for what rows count.
-    """
+def _analysis(pages: DataFrame) -> dict[str, DataFrame]:
+    """The labelled pages (lab) and what is found on them: furniture, hyphen, misread, continues, and each book's style."""
     lab = labelled(pages)
+    styles = written(_styles(lab), "styles")
     facts = written(page_facts(lab), "facts")
     furniture = facts.select("page_id", F.explode("furniture").alias("line_no"), F.lit("furniture").alias("line_kind"), F.lit("").alias("word"))
 
@@ -463,7 +458,7 @@ def findings(pages: DataFrame) -> DataFrame:
     split = F.col("whole") & F.col("prev.last.text").rlike(rf"\p{{L}}[{HYPHENS}]$")
     opening = ends.where(F.col("first").isNotNull() & ~F.coalesce(split, F.lit(False))).select("page_id", "first.line_no", _plain(F.col("first.token")).alias("word")).where(r"word rlike '\\p{L}'")
     words = facts.select("page_id", F.explode("words").alias("w")).select("page_id", "w.line_no", "w.word").unionByName(opening)
-    joined = ends.where("prev is not null and first is not null").join(_styles(lab), "pdf_id", "left")
+    joined = ends.where("prev is not null and first is not null").join(styles, "pdf_id", "left")
     joined = written(joined.select("page_id", "first", "prev", "whole", "width", "indented"), "joined")
     full_stop = joined.where(F.col("whole") & F.col("indented") & _ended(F.col("prev.last.text")) & (F.col("first.state") == "body") & (F.col("prev.last.state") == "body"))
     share = full_stop.agg(F.avg((F.col("first.indent") == 0).cast("double"))).first()[0]
@@ -471,17 +466,17 @@ def findings(pages: DataFrame) -> DataFrame:
     goes_on = joined.where(goes).select("page_id", F.col("first.line_no").alias("line_no"), F.lit("continues").alias("line_kind"), F.lit("").alias("word"))
 
     inside = facts.select("page_id", F.explode("broken").alias("x")).select("page_id", "x.line_no", "x.a", "x.b")
-    over = joined.where(F.col("whole") & (F.col("first.state") == "body") & F.col("prev.last.text").rlike(rf"\p{{L}}[{HYPHENS}]$")).select(F.col("prev.page_id").alias("page_id"), F.col("prev.last.line_no").alias("line_no"), F.col("prev.last.token").alias("a"), F.col("first.token").alias("b"))
-    broken = inside.withColumn("over", F.lit(False)).unionByName(over.withColumn("over", F.lit(True))).where("b <> ''")
+    over = joined.where(F.col("whole") & (F.col("first.state") == "body") & F.col("prev.last.text").rlike(rf"\p{{L}}[{HYPHENS}]$")).select(F.col("prev.page_id").alias("page_id"), F.col("prev.last.line_no").alias("line_no"), F.col("prev.last.token").alias("a"), F.col("first.token").alias("b"), F.col("page_id").alias("next_page"))
+    broken = inside.withColumn("next_page", F.lit(None).cast(dict(lab.dtypes)["page_id"])).withColumn("over", F.lit(False)).unionByName(over.withColumn("over", F.lit(True))).where("b <> ''")
     head = _plain(F.regexp_replace("a", rf"[{HYPHENS}]+$", ""))
-    broken = written(broken.select("page_id", "line_no", "over", head.alias("head"), _plain(F.col("b")).alias("rest")).select("page_id", "line_no", "over", F.concat("head", "rest").alias("closed"), F.concat("head", F.lit("-"), "rest").alias("open")), "broken")
+    broken = written(broken.select("page_id", "line_no", "over", "next_page", head.alias("head"), _plain(F.col("b")).alias("rest")).select("page_id", "line_no", "over", "next_page", F.concat("head", "rest").alias("closed"), F.concat("head", F.lit("-"), "rest").alias("open")), "broken")
 
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     mended = broken.groupBy("closed").agg(F.count("*").alias("n")).select(F.col("closed").alias("word"), "n")
     both = counts.withColumn("k", F.lit(0)).unionByName(mended.withColumn("k", F.lit(1))).groupBy("word").agg(F.sum(F.when(F.col("k") == 0, F.col("n"))).alias("seen"), F.sum("n").alias("n"))
     both = written(both, "words")
     right = written(corrections(both.select("word", "n")), "right")
-    misread = words.join(right, "word").select("page_id", "line_no", F.lit("misread").alias("line_kind"), F.col("right").alias("word")).distinct()
+    misread = words.join(right, "word").select("page_id", "line_no", "word", "right")
 
     seen = both.select("word", F.coalesce("seen", F.lit(0)).alias("seen"))
     hyphen = (
@@ -494,5 +489,97 @@ def findings(pages: DataFrame) -> DataFrame:
     # over a page break the second half may be missing: the word must be known
     known = F.coalesce("n_open", F.lit(0)) + F.coalesce("n_closed", F.lit(0)) > 0
     hyphen = hyphen.where(~F.col("over") | known | F.col("true_closed").isNotNull() | F.col("true_open").isNotNull())
-    hyphen = hyphen.select("page_id", "line_no", F.lit("hyphen").alias("line_kind"), F.when(with_one, F.coalesce("true_open", "open")).otherwise(F.coalesce("true_closed", "closed")).alias("word"))
-    return furniture.unionByName(hyphen).unionByName(misread).unionByName(goes_on)
+    hyphen = hyphen.select("page_id", "line_no", "next_page", F.when(with_one, F.coalesce("true_open", "open")).otherwise(F.coalesce("true_closed", "closed")).alias("word"))
+    carried = hyphen.where("next_page is not null").select(F.col("next_page").alias("page_id"), F.lit(True).alias("carried")).distinct()
+    return {"carried": carried, "lab": lab, "styles": styles, "furniture": furniture, "hyphen": hyphen, "misread": misread, "continues": goes_on}
+
+
+def findings(pages: DataFrame) -> DataFrame:
+    """page_id, line_no, line_kind, word: every place where a page's text is not the book's.
+
+    'furniture': a running line or page number. 'hyphen': the line a broken
+    word begins on, and the whole word. 'misread': a line with a misread word,
+    and the true word. 'continues': the first line of text of a page that goes
+    on with the paragraph before. See `labelled` for what rows count.
+    """
+    a = _analysis(pages)
+    hyphen = a["hyphen"].select("page_id", "line_no", F.lit("hyphen").alias("line_kind"), "word")
+    misread = a["misread"].select("page_id", "line_no", F.lit("misread").alias("line_kind"), F.col("right").alias("word")).distinct()
+    return a["furniture"].unionByName(hyphen).unionByName(misread).unionByName(a["continues"])
+
+
+def _like(raw: str, word: str) -> str:
+    """word in place of the letters of raw: its punctuation stays, and a capital at its start."""
+    start = next((i for i, c in enumerate(raw) if c not in _STRIP), 0)
+    stop = len(raw) - next((i for i, c in enumerate(reversed(raw)) if c not in _STRIP + "!"), 0)
+    if start < len(raw) and raw[start].isupper():
+        word = raw[start:stop].isupper() and len(word) > 1 and word.upper() or word[:1].upper() + word[1:]
+    return raw[:start] + word + raw[stop:]
+
+
+def page_pieces(text: str, states: dict[int, str], wrong: list[tuple[int, str, str]], joined: dict[int, str], indented: bool, carried: bool) -> list[tuple[str, str]]:
+    """(kind, text) of the paragraphs and headings of a page: furniture gone, words joined and put right.
+
+    carried: the page before has taken over the first word, the rest of one broken there.
+    """
+    lines = text.split("\n")
+    body = [i for i in sorted(states) if states[i] in ("body", "heading")]
+    fix = {(i, w): r for i, w, r in wrong}
+    out: list[list] = []
+    skip = carried
+    last_body = None
+    for k, i in enumerate(body):
+        tokens = _TOKEN.findall(lines[i])
+        if skip and tokens:
+            tokens = tokens[1:]
+        skip = False
+        tokens = [_like(t, fix[i, bare(t)]) if (i, bare(t)) in fix else t for t in tokens]
+        if i in joined and tokens and tokens[-1][-1:] in HYPHENS:
+            rest = _TOKEN.findall(lines[body[k + 1]])[0] if k + 1 < len(body) and _TOKEN.findall(lines[body[k + 1]]) else ""
+            tail = rest[len(rest.rstrip(_STRIP + "!")) :]
+            tokens[-1] = _like(tokens[-1].rstrip(HYPHENS), joined[i]) + tail
+            skip = bool(rest)
+        blank = last_body is not None and any(not lines[j].strip() for j in range(last_body + 1, i))
+        kind = "heading" if states[i] == "heading" else "paragraph"
+        new = not out or kind != out[-1][0] or (lines[i][:1].isspace() if indented else blank)
+        if new:
+            out.append([kind, []])
+        out[-1][1] += tokens
+        last_body = i
+    return [(kind, " ".join(t)) for kind, t in out if t]
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """pdf_id, page_id, piece, kind, text: every paragraph and heading of the books, whole, under the page it starts on.
+
+    A paragraph goes on over pages and plates; its pieces come together by where
+    it starts, so that no more than one paragraph is ever in one place.
+    """
+    from tracewright.operators.asof import last_before
+
+    a = _analysis(pages)
+    wrong = a["misread"].groupBy("page_id").agg(F.collect_set(F.struct("line_no", "word", "right")).alias("wrong"))
+    join = a["hyphen"].groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("line_no", "word")))).alias("joined"))
+    goes = a["continues"].select("page_id", F.lit(True).alias("goes")).join(a["carried"], "page_id", "left")
+    df = a["lab"].join(wrong, "page_id", "left").join(join, "page_id", "left").join(goes, "page_id", "left").join(a["styles"].select("pdf_id", "indented"), "pdf_id", "left")
+    kind = dict(df.dtypes)["page_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            take: list[int] = []
+            for n, (text, kinds, wr, jo, go, ind, ca) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3, 10)))):
+                got = page_pieces(text or "", {x["line_no"]: x["state"] for x in kinds or []}, [(x["line_no"], x["word"], x["right"]) for x in wr or []], dict(jo or []), bool(ind), bool(ca))
+                for k, (what, t) in enumerate(got):
+                    take.append(n)
+                    rows.append((k, what, t, bool(go) and k == 0))
+            t = pa.array(take, pa.int64())
+            col = lambda k, ty: pa.array([r[k] for r in rows], ty)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(t) for c in range(3)), col(0, pa.int32()), col(1, pa.string()), col(2, pa.string()), col(3, pa.bool_())], names=["page_id", "pdf_id", "page_index", "piece", "kind", "text", "goes"])
+
+    p = df.select("page_id", "pdf_id", "page_index", "text", "kinds", "wrong", "joined", "goes", "indented", "carried").mapInArrow(run, f"page_id {kind}, pdf_id string, page_index bigint, piece int, kind string, text string, goes boolean")
+    p = written(p.withColumn("at", F.col("page_index") * 1_000_000 + F.col("piece")), "pieces")
+    p = last_before(p, ["pdf_id"], "at", F.when(~F.col("goes"), F.col("at")), "opened")
+    p = p.withColumn("start", F.when(~F.col("goes"), F.col("at")).otherwise(F.coalesce("opened", "at")))
+    whole = p.groupBy("pdf_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("x"), F.min_by("page_id", "at").alias("page_id"), F.min_by("piece", "at").alias("piece"), F.min_by("kind", "at").alias("kind"))
+    return whole.select("pdf_id", "page_id", "piece", "kind", F.array_join(F.transform("x", lambda v: v["text"]), " ").alias("text"))
