@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: The authority that only a user has, and events that need one to decide.
 USER = "USER_OVERRIDE"
-AUTHORITY_TYPES = ("OverrideApplied", "CorrectionApplied", "Locked", "Unlocked", "EntityResolved", "ReferenceRebound", "LocatorRebased")
+AUTHORITY_TYPES = ("OverrideApplied", "CorrectionApplied", "EntityResolved", "Locked", "Unlocked", "Invalidated", "ReferenceRebound")
+AUTHORITY_PREDICATES = ("speaker", "entity", "character", "canonical_entity", "pronunciation")
 #: The fields an event's payload must have.
 REQUIRED = {
     "SemanticAsserted": ("predicate_code", "subject_ref", "scope"),
@@ -79,6 +80,11 @@ def poison(events: DataFrame, quarantined: DataFrame) -> DataFrame:
     return events.join(bad, "seq", "left").withColumn("verdict", F.when(pause, "PAUSE").when(F.col("_bad"), "SKIP").otherwise("APPLY")).drop("_bad")
 
 
+def pauses(event_type: Column, predicate: Column) -> Column:
+    """Whether a change of authority makes projections wait: of any predicate if none is named, else of one of authority."""
+    return event_type.isin("OverrideApplied", "CorrectionApplied", "EntityResolved", "Invalidated") & (predicate.isNull() | F.lower(predicate).isin(*AUTHORITY_PREDICATES))
+
+
 def mirror(asserted: DataFrame) -> DataFrame:
     """One row a fact: the last assertion wins, but none of the machine over one of the user.
 

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 #: Stages of a source's decomposition and what each needs.
 STAGES = (
-    ("FORMAT_ANALYSIS", "INGEST"),
-    ("BASIC_SEGMENTATION", "FORMAT_ANALYSIS"),
-    ("LOW_LEVEL_EXTRACTION", "BASIC_SEGMENTATION"),
-    ("STRUCTURAL_ANALYSIS", "LOW_LEVEL_EXTRACTION"),
-    ("ENTITY_RESOLUTION", "STRUCTURAL_ANALYSIS"),
-    ("CROSS_SOURCE_ALIGNMENT", "ENTITY_RESOLUTION"),
-    ("SEMANTIC_RECONCILIATION", "ENTITY_RESOLUTION"),
-    ("SEMANTIC_RECONCILIATION", "CROSS_SOURCE_ALIGNMENT"),
-    ("CURRENT_SEARCH_PROJECTION", "SEMANTIC_RECONCILIATION"),
+    ("FORMAT_ANALYSIS", "INGEST", "source_bytes"),
+    ("BASIC_SEGMENTATION", "FORMAT_ANALYSIS", "format_analysis"),
+    ("LOW_LEVEL_EXTRACTION", "BASIC_SEGMENTATION", "segments"),
+    ("STRUCTURAL_ANALYSIS", "LOW_LEVEL_EXTRACTION", "evidence_records"),
+    ("ENTITY_RESOLUTION", "STRUCTURAL_ANALYSIS", "structural_assertions"),
+    ("ENTITY_RESOLUTION", "LOW_LEVEL_EXTRACTION", "evidence_records"),
+    ("CROSS_SOURCE_ALIGNMENT", "ENTITY_RESOLUTION", "resolved_entities"),
+    ("CROSS_SOURCE_ALIGNMENT", "STRUCTURAL_ANALYSIS", "structural_assertions"),
+    ("SEMANTIC_RECONCILIATION", "ENTITY_RESOLUTION", "resolved_entities"),
+    ("SEMANTIC_RECONCILIATION", "CROSS_SOURCE_ALIGNMENT", "alignments"),
+    ("CURRENT_SEARCH_PROJECTION", "SEMANTIC_RECONCILIATION", "reconciled_state"),
 )
 
 
 def stage_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STAGES, "stage string, depends_on string")
+    return spark.createDataFrame(STAGES, "stage string, depends_on string, evidence_class string")
 
 
 def descendants(edges: DataFrame, depth: int = 64) -> DataFrame:

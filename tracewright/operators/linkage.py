@@ -74,7 +74,10 @@ def promotion(confidence: Column) -> Column:
 
 
 #: Predicates that are registered as they are.
-REGISTERED = ("ALIAS_OF", "APPEARS_IN", "CONTRADICTS", "CORRESPONDS_TO", "CO_OCCURS", "DERIVED_FROM", "HAS_EMOTION", "HAS_TRAIT", "IN_STATE", "KNOWN_AS", "MENTIONED_IN", "OCCURS_AT", "PRESENT_IN", "RELATED_TO", "SIBLING_OF", "SPEAKS")
+REGISTERED = (
+    "SPEAKS", "PRESENT_IN", "CORRESPONDS_TO", "TRANSLATION_OF", "ADAPTATION_OF", "DERIVED_FROM", "CONTRADICTS", "ALIAS_OF", "EXPANDS", "OMITS", "REORDERS", "ALTERNATE_REALIZATION",
+    "MENTIONED_IN", "UTTERED_IN", "HAS_TRAIT", "CO_OCCURS", "HAS_EMOTION", "IN_STATE", "HAS_CONTEXT", "STARTS_AT", "SIBLING_OF", "RELATED_TO",
+)
 
 
 def relationship_target(predicate: Column, rel_type: Column) -> tuple[Column, Column]:
@@ -82,8 +85,12 @@ def relationship_target(predicate: Column, rel_type: Column) -> tuple[Column, Co
     p, t = F.upper(F.trim(predicate)), F.upper(F.trim(rel_type))
     ok = lambda c: F.coalesce(c.rlike("^[A-Z][A-Z0-9_]{0,63}$"), F.lit(False))
     t = F.when(ok(t), t)
-    target = F.when(p == "RELATED_TO", F.when(t.isNotNull(), p)).when((p == "SIBLING_OF") & t.isNotNull() & (t != "SIBLING_OF"), F.lit(None)).when(p.isin(*REGISTERED), p).when(ok(p), F.lit("RELATED_TO"))
-    kind = F.when(target.isNull(), F.lit(None)).when(p == "RELATED_TO", t).when(~p.isin(*REGISTERED), p).otherwise(t)
+    # a registered predicate stays as it is, without a type; another well-formed one becomes the type of a RELATED_TO
+    target = (
+        F.when(p == "RELATED_TO", F.when(t.isNotNull(), p)).when((p == "SIBLING_OF") & t.isNotNull() & (t != "SIBLING_OF"), F.lit(None))
+        .when(p.isin(*REGISTERED), p).when(t.isNotNull() | ok(p), F.lit("RELATED_TO"))
+    )
+    kind = F.when(target == "RELATED_TO", F.coalesce(t, p))
     return target, kind
 
 

@@ -32,7 +32,7 @@ def _facts(spark, sf) -> DataFrame:
     return a.select(F.concat_ws("|", "subject", "predicate", F.coalesce("object_ref", F.lit("-")), "scope", F.coalesce("relationship_type", F.lit("-"))).alias("fact_id"), "seq", "authority", "confidence", "state")
 
 
-_POISON_SQL = f"WITH {derive.LEDGER_SQL}, bad AS (SELECT DISTINCT concat('e:', CAST(user_id AS VARCHAR)) AS ref FROM events WHERE event_id % 101 = 0), po AS (SELECT seq, event_type, authority, target, CASE WHEN event_type IN ('OverrideApplied','CorrectionApplied','Locked','Unlocked','EntityResolved','ReferenceRebound','LocatorRebased') OR coalesce(authority, '') = 'USER_OVERRIDE' THEN 'PAUSE' WHEN entity IN (FROM bad) OR object_ref IN (FROM bad) THEN 'SKIP' ELSE 'APPLY' END AS verdict FROM ev)"
+_POISON_SQL = f"WITH {derive.LEDGER_SQL}, bad AS (SELECT DISTINCT concat('e:', CAST(user_id AS VARCHAR)) AS ref FROM events WHERE event_id % 101 = 0), po AS (SELECT seq, event_type, authority, target, CASE WHEN event_type IN ('OverrideApplied','CorrectionApplied','EntityResolved','Locked','Unlocked','Invalidated','ReferenceRebound') OR coalesce(authority, '') = 'USER_OVERRIDE' THEN 'PAUSE' WHEN entity IN (FROM bad) OR object_ref IN (FROM bad) THEN 'SKIP' ELSE 'APPLY' END AS verdict FROM ev)"
 _ST = f"WITH {derive.STATE_SQL} "
 _ED = f"WITH {derive.EDGES_SQL} "
 _MISSING = {
@@ -53,6 +53,7 @@ QUERIES = {
     "edges_conflicting": lambda s, d: _edges(s, d).where("state = 'CONFLICTING'").select("subject", "predicate", "object_ref", "scope", "relationship_type", "origin", "seq"),
     "poison_classify": lambda s, d: _poison(s, d).groupBy("event_type", "verdict").agg(F.count("*").alias("n")),
     "poison_first_pause": lambda s, d: _poison(s, d).agg(F.min(F.when(F.col("verdict") == "PAUSE", F.col("seq"))).alias("pause_seq"), F.sum((F.col("verdict") == "SKIP").cast("int")).cast("bigint").alias("skipped")),
+    "pause_policy": lambda s, d: derive.ledger(s, d).select("event_type", ledger.pauses(F.col("event_type"), F.when(F.col("seq") % 5 == 0, "Speaker").otherwise(F.col("predicate"))).alias("pauses")).groupBy("event_type", "pauses").agg(F.count("*").alias("n")),
     "ledger_dedupe": lambda s, d: ledger.first_of_key(_semantic(s, d)).where("seq > first_seq").distinct(),
     "ledger_upcast": lambda s, d: ledger.upcast(_semantic(s, d)).groupBy("event_type", "event_version", "version_up", "scope_up", "relationship_type_up").agg(F.count("*").alias("n")),
     "ledger_validate": lambda s, d: _semantic(s, d).select("event_type", F.explode(ledger.missing_fields()).alias("field")).groupBy("event_type", "field").agg(F.count("*").alias("n")),
@@ -78,6 +79,7 @@ SQL = {
     "edges_conflicting": _ED + "SELECT subject, predicate, object_ref, scope, relationship_type, origin, seq FROM ed WHERE state = 'CONFLICTING'",
     "poison_classify": _POISON_SQL + " SELECT event_type, verdict, count(*) AS n FROM po GROUP BY 1, 2",
     "poison_first_pause": _POISON_SQL + " SELECT min(seq) FILTER (WHERE verdict = 'PAUSE') AS pause_seq, CAST(count(*) FILTER (WHERE verdict = 'SKIP') AS BIGINT) AS skipped FROM po",
+    "pause_policy": f"WITH {derive.LEDGER_SQL} SELECT event_type, event_type IN ('OverrideApplied','CorrectionApplied','EntityResolved','Invalidated') AND (seq % 5 = 0 OR predicate IS NULL) AS pauses, count(*) AS n FROM ev GROUP BY 1, 2",
     "ledger_dedupe": "SELECT DISTINCT seq, first_seq FROM (SELECT seq, min(seq) OVER (PARTITION BY idempotency_key) AS first_seq FROM semantic_event WHERE idempotency_key IS NOT NULL) WHERE seq > first_seq",
     "ledger_upcast": f"SELECT event_type, event_version, greatest(coalesce(event_version, 1), {_LATEST_SQL}) AS version_up, CASE WHEN event_type = 'SemanticAsserted' AND coalesce(event_version, 1) < 2 THEN coalesce(payload.scope, 'GLOBAL') ELSE payload.scope END AS scope_up, CASE WHEN coalesce(event_version, 1) >= {_LATEST_SQL} THEN payload.relationship_type END AS relationship_type_up, count(*) AS n FROM semantic_event GROUP BY ALL",
     "ledger_validate": "SELECT event_type, field, count(*) AS n FROM (SELECT event_type, unnest(CASE event_type " + " ".join(f"WHEN '{t}' THEN {x}" for t, x in _MISSING.items()) + " ELSE [] END) AS field FROM semantic_event) WHERE field IS NOT NULL GROUP BY 1, 2",

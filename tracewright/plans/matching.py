@@ -163,7 +163,7 @@ SQL = {
     "same_name_pairs": "SELECT p_name AS name, p_partkey AS ref, nx AS next_ref FROM (SELECT *, lead(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS nx FROM part) WHERE nx IS NOT NULL",
     "split_assign": "WITH c AS (SELECT subject_ref AS ref, object_ref AS target, round(confidence, 2) AS confidence FROM semantic_assertion WHERE subject_ref IS NOT NULL AND object_ref IS NOT NULL AND confidence IS NOT NULL), t AS (SELECT *, rank() OVER (PARTITION BY ref ORDER BY confidence DESC) AS k FROM c) SELECT ref, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target FROM t WHERE k = 1 GROUP BY 1",
     "reconcile_promote": "WITH o AS (SELECT id AS ord, upper(trim(predicate_code)) AS predicate_code, trim(subject_ref) AS subject_ref, trim(object_ref) AS object_ref, '' AS relationship_type, confidence, coalesce(upper(trim(state)) = 'CONFLICTING', false) AS conflicted FROM semantic_assertion), b AS (SELECT *, row_number() OVER (PARTITION BY predicate_code, subject_ref, object_ref ORDER BY ord, confidence DESC NULLS LAST) AS k, count(*) OVER (PARTITION BY predicate_code, subject_ref, object_ref) AS seen, max(conflicted) OVER (PARTITION BY subject_ref) AS bad FROM o) SELECT predicate_code, subject_ref, object_ref, relationship_type, ord, CASE WHEN bad AND subject_ref IS NOT NULL THEN 'CONFLICTING' WHEN coalesce(confidence, 0) >= 0.8 THEN 'CONFIRMED' WHEN coalesce(confidence, 0) >= 0.5 THEN 'PROBABLE' ELSE 'UNKNOWN' END AS state, seen FROM b WHERE k = 1",
-    "relationship_target": f"WITH a AS (SELECT DISTINCT predicate_code, CASE WHEN length(authority) > 4 THEN authority END AS t FROM semantic_assertion), n AS (SELECT *, upper(trim(predicate_code)) AS p, CASE WHEN regexp_full_match(upper(trim(t)), '[A-Z][A-Z0-9_]{{0,63}}') THEN upper(trim(t)) END AS u FROM a), x AS (SELECT *, CASE WHEN p = 'RELATED_TO' THEN CASE WHEN u IS NOT NULL THEN p END WHEN p = 'SIBLING_OF' AND u IS NOT NULL AND u <> 'SIBLING_OF' THEN NULL WHEN p IN {_REG} THEN p WHEN regexp_full_match(p, '[A-Z][A-Z0-9_]{{0,63}}') THEN 'RELATED_TO' END AS target FROM n) SELECT predicate_code, t, target, CASE WHEN target IS NULL THEN NULL WHEN p = 'RELATED_TO' THEN u WHEN p NOT IN {_REG} THEN p ELSE u END AS kind FROM x",
+    "relationship_target": f"WITH a AS (SELECT DISTINCT predicate_code, CASE WHEN length(authority) > 4 THEN authority END AS t FROM semantic_assertion), n AS (SELECT *, upper(trim(predicate_code)) AS p, CASE WHEN regexp_full_match(upper(trim(t)), '[A-Z][A-Z0-9_]{{0,63}}') THEN upper(trim(t)) END AS u FROM a), x AS (SELECT *, CASE WHEN p = 'RELATED_TO' THEN CASE WHEN u IS NOT NULL THEN p END WHEN p = 'SIBLING_OF' AND u IS NOT NULL AND u <> 'SIBLING_OF' THEN NULL WHEN p IN {_REG} THEN p WHEN u IS NOT NULL OR regexp_full_match(p, '[A-Z][A-Z0-9_]{{0,63}}') THEN 'RELATED_TO' END AS target FROM n) SELECT predicate_code, t, target, CASE WHEN target = 'RELATED_TO' THEN coalesce(u, p) END AS kind FROM x",
     "align_scene": f"WITH {_UN} SELECT l.pair, l.scene, count(*) AS pairs FROM l JOIN r ON l.pair = r.pair AND l.scene = r.scene GROUP BY 1, 2",
     "align_omissions": f"WITH {_UN} SELECT pair, ref FROM r WHERE pair >= 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.pair = r.pair AND l.scene = r.scene)",
     "align_reordering": f"WITH {_UN}, q AS (SELECT l.pair, l.no AS a, r.no + CASE WHEN l.no % 50 = 0 THEN -3 ELSE 0 END AS b FROM l JOIN r ON l.pair = r.pair AND l.no = r.no AND l.scene = r.scene) SELECT q.pair, coalesce(bool_or((q.a < z.a) <> (q.b < z.b)) FILTER (WHERE q.a < z.a), false) AS reordered FROM q LEFT JOIN q z ON q.pair = z.pair AND q.a < z.a GROUP BY 1",

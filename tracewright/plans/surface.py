@@ -51,7 +51,7 @@ def _start(s, d) -> DataFrame:
 
 
 _EDGE = ["subject", "predicate", "object_ref", "scope", "relationship_type", "origin", "seq"]
-_LIN = "e(stage, depends_on) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in lineage.STAGES) + "), r(root, stage, distance) AS (SELECT depends_on, stage, 1 FROM e UNION SELECT r.root, e.stage, r.distance + 1 FROM r JOIN e ON e.depends_on = r.stage WHERE r.distance < 64), de AS (SELECT root, stage, min(distance) AS distance FROM r GROUP BY 1, 2)"
+_LIN = "e(stage, depends_on) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b, _ in lineage.STAGES) + "), r(root, stage, distance) AS (SELECT depends_on, stage, 1 FROM e UNION SELECT r.root, e.stage, r.distance + 1 FROM r JOIN e ON e.depends_on = r.stage WHERE r.distance < 64), de AS (SELECT root, stage, min(distance) AS distance FROM r GROUP BY 1, 2)"
 _ED = f"WITH {derive.EDGES_SQL} "
 _AUDIT = derive.STATE_SQL.replace("), e1 AS", "), e1 AS", 1).replace(
     ", lk AS (SELECT *,", ", la AS (SELECT entity, max(seq) AS last FROM ev WHERE entity IS NOT NULL AND event_type NOT IN ('Locked', 'Unlocked') GROUP BY 1), lk AS (SELECT *,", 1
