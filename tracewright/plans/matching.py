@@ -157,7 +157,7 @@ _WSP = r"[ \t]"
 SQL = {
     "block_candidates": f'WITH {_BK} SELECT * FROM bp',
     "link_score": f"WITH {_LS} SELECT * FROM ls",
-    "link_candidates": f'WITH {_LS} SELECT * FROM (SELECT "left", "right", score, row_number() OVER (PARTITION BY "left" ORDER BY score DESC, "right") AS place FROM ls WHERE score >= 0.2) WHERE place <= 20',
+    "link_candidates": f'WITH {_LS} SELECT * FROM (SELECT "left", "right", score, CAST(row_number() OVER (PARTITION BY "left" ORDER BY score DESC, "right") AS INT) AS place FROM ls WHERE score >= 0.2) WHERE place <= 20',
     "link_train": f"WITH {_MU} SELECT field, round(m, 8) AS m, round(u, 8) AS u FROM mu",
     "link_predict": f"WITH {_MU}, x AS (SELECT l, r, " + " + ".join(f"(SELECT CASE WHEN agree_{f} THEN ln(m / u) ELSE ln((1 - m) / (1 - u)) END FROM mu WHERE field = '{f}')" for f in FIELDS) + ' AS w FROM g) SELECT l AS "left", r AS "right", round(w, 6) AS weight, round(0.1 * exp(w) / (0.1 * exp(w) + 0.9), 6) AS probability, CASE WHEN w >= 3 THEN \'MATCH\' WHEN w >= 0 THEN \'POSSIBLE\' ELSE \'NON_MATCH\' END AS decision FROM x',
     "same_name_pairs": "SELECT p_name AS name, p_partkey AS ref, nx AS next_ref FROM (SELECT *, lead(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS nx FROM part) WHERE nx IS NOT NULL",
@@ -168,13 +168,13 @@ SQL = {
     "align_omissions": f"WITH {_UN} SELECT pair, ref FROM r WHERE pair >= 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.pair = r.pair AND l.scene = r.scene)",
     "align_reordering": f"WITH {_UN}, q AS (SELECT l.pair, l.no AS a, r.no + CASE WHEN l.no % 50 = 0 THEN -3 ELSE 0 END AS b FROM l JOIN r ON l.pair = r.pair AND l.no = r.no AND l.scene = r.scene) SELECT q.pair, coalesce(bool_or((q.a < z.a) <> (q.b < z.b)) FILTER (WHERE q.a < z.a), false) AS reordered FROM q LEFT JOIN q z ON q.pair = z.pair AND q.a < z.a GROUP BY 1",
     "align_confidence": f"WITH {_UN} SELECT l.ref AS left_ref, r.ref AS right_ref, floor(least(0.99, greatest(0.05, CAST(0.3 AS DOUBLE) + CAST(0.4 AS DOUBLE) * 0.5 + CAST(0.3 AS DOUBLE) * greatest(0.0, 1.0 - CAST(0.01 AS DOUBLE) * greatest(abs(l.s - r.s), abs(l.e - r.e))))) * 10000 + 0.5) / 10000 AS confidence FROM l JOIN r ON l.pair = r.pair AND l.no = r.no",
-    "vad_islands": f"WITH {_FR}, t AS {_FLOOR.format('0.1')}, o AS (SELECT fr.*, max(CASE WHEN rms >= greatest(floor * 2.5, 0.0001) THEN i END) OVER (PARTITION BY fr.user_id ORDER BY i) AS la FROM fr JOIN t USING (user_id)), n AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM o WHERE i - la <= 2) SELECT user_id, min(i) AS start_frame, max(i) + 1 AS end_frame, max(rms) AS peak FROM n GROUP BY user_id, g HAVING (max(i) + 1 - min(i)) * 0.02 >= 0.05",
-    "music_islands": f"WITH {_FR}, t AS {_FLOOR.format('0.25')}, f AS (SELECT fr.*, greatest(floor, 0.001) AS fl FROM fr JOIN t USING (user_id)), o AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY user_id ORDER BY i) - 1 > 2 THEN 1 ELSE 0 END AS nw FROM f WHERE rms > fl), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY i) AS g FROM o), s AS (SELECT user_id, g, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY 1, 2), x AS (SELECT s.user_id, s.a, s.b, avg(rms) AS mean, stddev_pop(rms) AS sd, max(fl) AS fl FROM s JOIN f ON s.user_id = f.user_id AND f.i >= s.a AND f.i < s.b GROUP BY 1, 2, 3) SELECT user_id, a AS start_frame, b AS end_frame, kind FROM (SELECT *, CASE WHEN (b - a) * 0.02 >= 0.25 AND sd <= 0.5 * greatest(mean, fl) THEN 'music' WHEN (b - a) * 0.02 < 0.25 THEN 'transient' END AS kind FROM x) WHERE kind IS NOT NULL",
+    "vad_islands": f"WITH {_FR}, t AS {_FLOOR.format('0.1')}, o AS (SELECT fr.*, max(CASE WHEN rms >= greatest(floor * 2.5, 0.0001) THEN i END) OVER (PARTITION BY fr.user_id ORDER BY i) AS la FROM fr JOIN t USING (user_id)), n AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM o WHERE i - la <= 2) SELECT user_id, CAST(min(i) AS INT) AS start_frame, CAST(max(i) + 1 AS INT) AS end_frame, max(rms) AS peak FROM n GROUP BY user_id, g HAVING (max(i) + 1 - min(i)) * 0.02 >= 0.05",
+    "music_islands": f"WITH {_FR}, t AS {_FLOOR.format('0.25')}, f AS (SELECT fr.*, greatest(floor, 0.001) AS fl FROM fr JOIN t USING (user_id)), o AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY user_id ORDER BY i) - 1 > 2 THEN 1 ELSE 0 END AS nw FROM f WHERE rms > fl), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY i) AS g FROM o), s AS (SELECT user_id, g, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY 1, 2), x AS (SELECT s.user_id, s.a, s.b, avg(rms) AS mean, stddev_pop(rms) AS sd, max(fl) AS fl FROM s JOIN f ON s.user_id = f.user_id AND f.i >= s.a AND f.i < s.b GROUP BY 1, 2, 3) SELECT user_id, CAST(a AS INT) AS start_frame, CAST(b AS INT) AS end_frame, kind FROM (SELECT *, CASE WHEN (b - a) * 0.02 >= 0.25 AND sd <= 0.5 * greatest(mean, fl) THEN 'music' WHEN (b - a) * 0.02 < 0.25 THEN 'transient' END AS kind FROM x) WHERE kind IS NOT NULL",
     "interval_overlap": f"WITH {_CV} SELECT * FROM cv",
     "halluc_filter": f"WITH {_CV}, v AS (SELECT covered / (e - s) AS b, (id % 10) / 10.0 AS c, id % 4 AS lw FROM cv) SELECT CASE WHEN b < 0.5 OR c < 0.5 OR (lw > 0 AND lw >= 3) THEN 'filtered' ELSE 'kept' END AS outcome, CASE WHEN b < 0.5 THEN 'vad' WHEN c < 0.5 THEN 'energy' WHEN lw > 0 THEN 'logprob' END AS \"trigger\", count(*) AS n FROM v GROUP BY 1, 2",
     "fpr_fnr": "SELECT round(count(*) FILTER (WHERE value <= 100 AND event_type = 'error') / count(*) FILTER (WHERE value <= 100), 6) AS fpr, round(count(*) FILTER (WHERE value > 100 AND event_type <> 'error') / count(*) FILTER (WHERE value > 100), 6) AS fnr FROM events",
     "scene_shots": "WITH d AS (SELECT track_id, round(max(end_s), 3) AS duration_s FROM scene_boundary WHERE end_s IS NOT NULL AND NOT isnan(end_s) GROUP BY 1), c AS (SELECT track_id, round(start_s, 3) AS s FROM scene_boundary WHERE start_s >= 0 AND NOT isnan(start_s) UNION SELECT track_id, 0.0 FROM d) SELECT c.track_id, CAST(row_number() OVER w - 1 AS INT) AS scene_index, round(s, 4) AS start_s, round(coalesce(lead(s) OVER w, duration_s), 4) AS end_s, CAST(round(s * 90000) AS BIGINT) AS start_pts FROM c JOIN d USING (track_id) WINDOW w AS (PARTITION BY c.track_id ORDER BY s)",
-    "frame_sample": f"WITH {_FR}, n AS (SELECT *, greatest(1, CAST(floor(count(*) OVER (PARTITION BY user_id) / 8) AS BIGINT)) AS st FROM fr) SELECT user_id, i FROM n WHERE i % st = 0 AND i // st < 8",
+    "frame_sample": f"WITH {_FR}, n AS (SELECT *, greatest(1, CAST(floor(count(*) OVER (PARTITION BY user_id) / 8) AS BIGINT)) AS st FROM fr) SELECT user_id, CAST(i AS INT) AS i FROM n WHERE i % st = 0 AND i // st < 8",
     "cue_shift": f"WITH {_CU} SELECT media_id, utterance_index, greatest(0, CAST(round(CAST(round(start_s * 1000) AS BIGINT) + 900000 / 90.0 - 12000) AS BIGINT)) AS start_ms FROM cu WHERE start_s IS NOT NULL",
     "cue_flags": f"WITH {_CU}, f AS (SELECT lower(text) AS low, (contains(text, '♪') OR contains(text, '♫') OR contains(text, '♬') OR contains(text, '[music') OR contains(text, '[song')) AS is_song FROM cu WHERE text IS NOT NULL), g AS (SELECT *, (contains(low, '[sign') OR contains(low, '(sign') OR contains(low, 'sign language') OR contains(low, '[visual') OR contains(low, ' [english]') OR contains(low, 'sings')) AS is_sign FROM f) SELECT is_song, is_sign, (is_song OR is_sign OR contains(low, '[') OR contains(low, ']') OR regexp_matches(low, '\\([a-z]+[a-z ]+\\)')) AS is_hi, count(*) AS n FROM g GROUP BY 1, 2, 3",
     "timecode_ms": r"SELECT DISTINCT timecode, CASE WHEN regexp_matches(timecode, '^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})$') THEN coalesce(TRY_CAST(regexp_extract(timecode, '^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})$', 1) AS BIGINT), 0) * 3600000 + CAST(regexp_extract(timecode, '^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})$', 2) AS BIGINT) * 60000 + CAST(regexp_extract(timecode, '^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})$', 3) AS BIGINT) * 1000 + CAST(regexp_extract(timecode, '^(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})$', 4) AS BIGINT) END AS ms FROM source_time",
