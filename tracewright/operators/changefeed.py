@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SETS = ("SemanticAsserted", "OverrideApplied", "CorrectionApplied")
@@ -57,9 +57,9 @@ def apply_changes(
         .groupBy("entity", "predicate")
         .agg(F.max("plus").alias("plus"), F.max("minus").alias("minus"))
     )
-    # deletes of all rows of an entity: one row an entity at most
-    whole = images.where("predicate is null and minus is not null").select(F.col("entity").alias("entity_"), F.col("minus").alias("minus_all"))
-    rows = images.where("plus is not null").join(whole, F.col("entity") == F.col("entity_"), "left")
+    # deletes of all rows of an entity; an entity has by now one row a predicate, however busy it is
+    of_entity = Window.partitionBy("entity")
+    rows = images.withColumn("minus_all", F.max(F.when(F.col("predicate").isNull(), F.col("minus"))).over(of_entity)).where("plus is not null")
     gone = F.greatest("minus", "minus_all")
     signed = rows.select(
         "entity", "predicate", F.col("plus").alias("seq"),
