@@ -46,10 +46,11 @@ def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def mentions(par: DataFrame, keys: list[str]) -> DataFrame:
     """keys, run, times: capitalised runs that a paragraph has more than once."""
-    t = X.ascii_only(F.col("text"))
-    runs = F.array_distinct(F.regexp_extract_all(t, F.lit(X.CAPS), 0))
-    x = par.select(*keys, t.alias("t"), F.explode(runs).alias("run"))
-    return x.select(*keys, "run", X.occurrences(F.col("t"), F.col("run")).alias("times")).where("times > 1")
+    # counted inside the row: the text is not copied for every run
+    x = par.select(*keys, X.ascii_only(F.col("text")).alias("t"))
+    runs = F.array_distinct(F.regexp_extract_all("t", F.lit(X.CAPS), 0))
+    counted = F.filter(F.transform(runs, lambda r: F.struct(r.alias("run"), X.occurrences(F.col("t"), r).alias("times"))), lambda c: c["times"] > 1)
+    return x.select(*keys, F.explode(counted).alias("x")).select(*keys, "x.run", "x.times")
 
 
 def cooccurrences(par: DataFrame, keys: list[str]) -> DataFrame:
