@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,3 +138,31 @@ def _embedded(text: str | None, dim: int = 64) -> list[float]:
 def embed_text(s: pd.Series) -> pd.Series:
     """A hashed bag of words of unit length in 64 dimensions."""
     return s.map(_embedded)
+
+
+def _word_set(text: str | None) -> set[str]:
+    return {t.lower() for t in re.findall(r"[A-Za-z0-9']+", text or "")}
+
+
+@lru_cache(maxsize=50_000)
+def _hashed(token: str, n: int = 64, seed: int = 42) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.sha256(f"{seed}\x1f{b}\x1f{token}".encode()).digest()[:8] for b in range(n)), ">u8").astype("u8")
+
+
+def _signed(words: set[str], n: int = 64) -> np.ndarray:
+    sig, some = np.zeros(n, "u8"), list(words)
+    for i in range(0, len(some), 4096):
+        part = np.minimum.reduce([_hashed(t, n) for t in some[i : i + 4096]])
+        sig = np.minimum(sig, part) if i else part
+    return sig
+
+
+def _hex(sig: np.ndarray) -> list[str]:
+    h = sig.astype(">u8").tobytes().hex()
+    return [h[i : i + 16] for i in range(0, len(h), 16)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def signature(s: pd.Series) -> pd.Series:
+    """minhash() with 64 hashes of the words of a text, each word hashed once a worker and not once a text."""
+    return s.map(lambda t: _hex(_signed(_word_set(t))))

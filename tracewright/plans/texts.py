@@ -50,6 +50,17 @@ def _pairs(spark, sf) -> DataFrame:
     return b.join(head, "band").where("doc_id <> head").select("head", "doc_id").distinct()
 
 
+def _whole_signatures(spark, sf) -> DataFrame:
+    """All 64 hashes of the reference; `_signatures` has the 16 of its SQL."""
+    return _docs(spark, sf).select("doc_id", X.signature("text").alias("sig"))
+
+
+def _whole_pairs(spark, sf) -> DataFrame:
+    b = _whole_signatures(spark, sf).where(F.col("sig")[0] != "0" * 16).select("doc_id", F.explode(X.bands(F.col("sig"))).alias("band"))
+    head = b.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return b.join(head, "band").where("doc_id <> head").select("head", "doc_id").distinct()
+
+
 QUERIES = {
     "seg_paragraph": lambda s, d: S.paragraphs(_docs(s, d)),
     "seg_sentence": lambda s, d: S.sentences(_docs(s, d)),
@@ -64,6 +75,8 @@ QUERIES = {
     "jaccard_pairs": lambda s, d: search.similar_names(_names(s, d)),
     "minhash_sig": lambda s, d: _signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
     "lsh_pairs": _pairs,
+    "minhash_sig_whole": lambda s, d: _whole_signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
+    "lsh_pairs_whole": _whole_pairs,
     "nfkc_name": lambda s, d: _names(s, d).select("mention_text", X.normalize_name("mention_text").alias("normal"), X.transliteration_key("mention_text").alias("key")),
     "embed_text": lambda s, d: _docs(s, d).select("doc_id", X.embed_text("text").alias("embedding")),
     "locator_parse": lambda s, d: s.read.parquet(f"{d}/semantic_assertion.parquet").select(F.explode("support_refs").alias("locator")).distinct().select("locator", locators.parse(F.col("locator")).alias("p")).select("locator", "p.*"),
