@@ -28,3 +28,12 @@ def test_signature_has_64_hashes(spark, tmp_path):
     d = table(spark, tmp_path, "documents", [(1, "Heavy bridge, heavy rain", "en", "s")], DOCS)
     got = run(spark, "minhash_sig_whole", d).first().signature.split(",")
     assert got == [least({"heavy", "bridge", "rain"}, b) for b in range(64)]
+
+
+def test_signature_of_any_script_and_of_nothing(spark, tmp_path):
+    rows = [(1, "Мост и река", "ru", "s"), (2, None, "en", "s"), (3, " ... ", "en", "s"), (4, "Straße, École", "de", "s"), (5, "", "en", "s")]
+    d = table(spark, tmp_path, "documents", rows, DOCS)
+    got = {r.doc_id: r.signature.split(",") for r in run(spark, "minhash_sig_whole", d).collect()}
+    want = {1: {"мост", "и", "река"}, 2: set(), 3: set(), 4: {"strasse", "école"}, 5: set()}
+    assert got == {i: [least(w, b) for b in range(64)] for i, w in want.items()}
+    assert run(spark, "lsh_pairs_whole", d).where("head in (2, 3, 5)").count() == 0

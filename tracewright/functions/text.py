@@ -141,7 +141,13 @@ def embed_text(s: pd.Series) -> pd.Series:
 
 
 def _word_set(text: str | None) -> set[str]:
-    return {t.lower() for t in re.findall(r"[A-Za-z0-9']+", text or "")}
+    return {_normal(t) for t in re.split(r"\W+", _normal(text) or "") if t}
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def words(s: pd.Series) -> pd.Series:
+    """The distinct words of the normal form of a text, in any script; none for null."""
+    return s.map(lambda t: sorted(_word_set(t)))
 
 
 @lru_cache(maxsize=50_000)
