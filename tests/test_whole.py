@@ -1,13 +1,16 @@
 """Queries that do the whole job where the SQL of the older ones does a part of it, against brute force."""
 
 import hashlib
-import os
+import math
+from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tracewright.functions import text as X
 
-SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
 
 
@@ -37,3 +40,31 @@ def test_signature_of_any_script_and_of_nothing(spark, tmp_path):
     want = {1: {"мост", "и", "река"}, 2: set(), 3: set(), 4: {"strasse", "école"}, 5: set()}
     assert got == {i: [least(w, b) for b in range(64)] for i, w in want.items()}
     assert run(spark, "lsh_pairs_whole", d).where("head in (2, 3, 5)").count() == 0
+
+
+def test_links_of_all_pairs_in_a_block(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    some = lambda *x: x[rng.integers(len(x))]
+    rows = [(i, f"{some('red', 'blue', 'rod')} {some('plate', 'nut', 'cup')}" if i % 9 else None, some("B1", "B2", "B3"), some("S", "T", None), int(rng.integers(1, 4))) for i in range(60)]
+    d = table(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    block = lambda n: {*n.split(), one_soundex[n]}
+    names = sorted({r[1] for r in rows if r[1]})
+    one_soundex = {r.n: "s:" + r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", X.soundex(F.col("n")).alias("s")).collect()}
+    pairs = [(a, b) for a, b in combinations(rows, 2) if a[1] and b[1] and block(a[1]) & block(b[1])]
+    agree = lambda a, b: tuple(a[i] is not None and a[i] == b[i] for i in (1, 3, 4))
+    yes, no = [agree(a, b) for a, b in pairs if a[2] == b[2]], [agree(a, b) for a, b in pairs if a[2] != b[2]]
+    model = {f: tuple((sum(x[i] for x in y) + 0.5) / (len(y) + 1.5) for y in (yes, no)) for i, f in enumerate(("name", "type", "size"))}
+    got = {r.field: (r.m, r.u) for r in run(spark, "link_train_whole", d).collect()}
+    assert {f: pytest.approx(v, abs=1e-7) for f, v in model.items()} == got
+    weight = lambda x: sum(math.log(m / u) if y else math.log((1 - m) / (1 - u)) for y, (m, u) in zip(x, model.values()))
+    out = run(spark, "link_predict_whole", d).collect()
+    of = {r.right: r.left for r in out if r.kind == "member"}
+    inside = {r.left: r.weight for r in out if r.kind == "member"}
+    links = {(r.left, r.right): r.weight for r in out if r.kind == "link"}
+    assert len(out) == len(of) + len(links) and set(of) == {r[0] for r in rows if r[1]}
+    made = {}
+    for a, b in combinations(sorted(of), 2):
+        w = inside[of[a]] if of[a] == of[b] else links.get((min(of[a], of[b]), max(of[a], of[b])))
+        if w is not None:
+            made[a, b] = w
+    assert made == {(a[0], b[0]): pytest.approx(weight(agree(a, b)), abs=1e-5) for a, b in pairs}

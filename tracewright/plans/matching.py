@@ -41,6 +41,14 @@ def _scored(s, d) -> DataFrame:
     return pairs.withColumn("score", F.round(L.link_score(sim, zero, zero, same, zero, zero), 6))
 
 
+def _blocked(s, d) -> DataFrame:
+    return L.with_self(L.block_pairs(_words(s, d), L.token_keys(F.col("ref"))), _words(s, d).where("ref is not null"))
+
+
+def _blocked_model(s, d) -> DataFrame:
+    return L.train_blocked(_blocked(s, d), _parts(s, d), FIELDS, "name", "p_brand")
+
+
 def _observed(s, d) -> DataFrame:
     a = s.read.parquet(f"{d}/semantic_assertion.parquet")
     # ids are text; their order is that of the first statement
@@ -107,6 +115,9 @@ QUERIES = {
     "link_candidates": lambda s, d: L.candidates(_scored(s, d), floor=0.2).select("left", "right", "score", "place"),
     "link_train": lambda s, d: L.train(_agreed(s, d), FIELDS).select("field", F.round("m", 8).alias("m"), F.round("u", 8).alias("u")),
     "link_predict": lambda s, d: L.predict(_agreed(s, d), L.train(_agreed(s, d), FIELDS), FIELDS, match=3.0).select("left", "right", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "decision"),
+    # of all pairs that share a block; the two above have the neighbouring keys of their SQL
+    "link_train_whole": lambda s, d: _blocked_model(s, d).select("field", F.round("m", 8).alias("m"), F.round("u", 8).alias("u")),
+    "link_predict_whole": lambda s, d: L.predict_blocked(_blocked(s, d), _parts(s, d), _blocked_model(s, d), FIELDS, "name", match=3.0).select("kind", "left", "right", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "decision"),
     "same_name_pairs": lambda s, d: _parts(s, d).select("name", "ref", F.lead("ref").over(Window.partitionBy("name").orderBy("ref")).alias("next_ref")).where("next_ref is not null"),
     "split_assign": _split,
     "reconcile_promote": lambda s, d: L.reconcile(_observed(s, d)),
