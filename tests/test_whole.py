@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tracewright.functions import text as X
+from tracewright.operators import search
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -68,3 +69,23 @@ def test_links_of_all_pairs_in_a_block(spark, tmp_path):
         if w is not None:
             made[a, b] = w
     assert made == {(a[0], b[0]): pytest.approx(weight(agree(a, b)), abs=1e-5) for a, b in pairs}
+
+
+def test_vector_searches_of_every_fiftieth_row(spark, tmp_path):
+    v = np.random.default_rng(3).integers(-3, 4, (120, 4)).astype(float)
+    v[7] = 0
+    d = table(spark, tmp_path, "embeddings", [(i, [float(x) for x in r], 0) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    table(spark, tmp_path, "documents", [(5, "heavy bridge heavy", "en", "s"), (300, "bridge heavy", "en", "s"), (6, "heavy", "en", "s")], DOCS)
+    cos = lambda a, b: round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), 6) if a.any() and b.any() else 0.0
+    best = {q: sorted(((cos(v[q], x), i) for i, x in enumerate(v)), key=lambda t: (-t[0], t[1])) for q in (0, 50, 100)}
+    got = {(r.probe_id, r.vec_id): r.score for r in run(spark, "vector_topk_whole", d).collect()}
+    assert got == {(q, i): pytest.approx(s, abs=2e-6) for q, b in best.items() for s, i in b[:20]}
+    whole = spark.read.parquet(f"{d}/embeddings.parquet")
+    in_blocks = search.nearest_vectors(whole, whole.where("vec_id % 50 = 0"), 20, block=2)
+    assert {(r.probe_id, r.vec_id) for r in in_blocks.collect()} == set(got)
+    far = {(r.probe_id, r.vec_id): r.distance for r in run(spark, "vector_l2_whole", d).collect()}
+    assert far == {(q, i): pytest.approx(float(np.linalg.norm(v[q] - x)), abs=2e-5) for q in best for i, x in enumerate(v)}
+    both = {(r.probe_id, r.doc_id): r.score for r in run(spark, "search_hybrid_whole", d).collect()}
+    text = {5: 3 / 4, 300: 2 / 3}
+    near = {q: {i: s for s, i in b[:40]} for q, b in best.items()}
+    assert both == {(q, i): pytest.approx(0.5 * text.get(i, 0) + 0.5 * max(0, near[q].get(i, 0)), abs=2e-6) for q in near for i in {*near[q], *text}}

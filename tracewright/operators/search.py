@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,55 @@ def similar_vectors(vectors: DataFrame, probe: int, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def _matrix(rows: Sequence, dim: int) -> np.ndarray:
+    return np.array([np.zeros(dim) if len(r) == 0 else np.asarray(r, dtype=float) for r in rows]).reshape(len(rows), dim)
+
+
+def _blocks(df: DataFrame, name: str, block: int) -> DataFrame:
+    b = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-df.count() // block))))
+    return df.groupBy(b.alias("b")).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list(F.coalesce("embedding", F.array().cast("array<float>"))).alias(name)).drop("b")
+
+
+def nearest_vectors(vectors: DataFrame, probes: DataFrame, k: int | None, metric: str = "cosine", block: int = 2048) -> DataFrame:
+    """probe_id, vec_id, score: the k nearest of all vectors (all of them for None) to each probe; equal scores by id.
+
+    metric is cosine (6 digits, 0 for zero and missing vectors) or l2 (5 digits,
+    the least is nearest). Both sides come in blocks; a pair of blocks is scored
+    at once and hands on k rows a probe.
+    """
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, q, v_ids, v in batch[["q_ids", "q", "v_ids", "v"]].itertuples(index=False):
+                dim = max((len(r) for r in (*q, *v)), default=0)
+                q, v, v_ids = _matrix(q, dim), _matrix(v, dim), np.asarray(v_ids)
+                q_len, v_len = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
+                for i, (q_id, x) in enumerate(zip(q_ids, q)):
+                    if metric == "l2":
+                        score, digits = np.sqrt(((v - x) ** 2).sum(axis=1)), 1e5
+                    else:
+                        n, digits = v_len * q_len[i], 1e6
+                        score = np.divide(v @ x, n, out=np.zeros(len(v)), where=n > 0)
+                    score = np.copysign(np.floor(np.abs(score) * digits + 0.5) / digits, score) + 0.0
+                    order = np.lexsort((v_ids, score if metric == "l2" else -score))[:k]
+                    yield pd.DataFrame({"probe_id": q_id, "vec_id": v_ids[order], "score": score[order]})
+
+    got = _blocks(probes, "q", block).crossJoin(_blocks(vectors, "v", block)).mapInPandas(scored, "probe_id long, vec_id long, score double")
+    if k is None:
+        return got
+    w = Window.partitionBy("probe_id").orderBy(F.col("score") if metric == "l2" else F.desc("score"), "vec_id")
+    return got.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
+
+
+def hybrid_each(text_hits: DataFrame, vector_hits: DataFrame, probes: DataFrame, id_col: str, k: int, weight: float = 0.5) -> DataFrame:
+    """probe_id, id, score: `hybrid` for each probe. vector_hits: probe_id, id, score, the best k of each probe."""
+    best = text_hits.orderBy(F.desc("score"), id_col).limit(k).select(id_col, F.col("score").cast("double").alias("e"))
+    a = probes.select(F.col("vec_id").alias("probe_id")).crossJoin(F.broadcast(best))  # k rows
+    b = vector_hits.select("probe_id", id_col, F.col("score").alias("v"))
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
+    return a.join(b, ["probe_id", id_col], "full_outer").select("probe_id", id_col, F.round((1 - weight) * unit(F.col("e") / (1 + F.col("e"))) + weight * unit(F.col("v")), 6).alias("score"))
+
+
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, id_col: str, k: int, weight: float = 0.5) -> DataFrame:
     """id, score: the best k of either side, fused; a text score s counts s / (1 + s)."""
     a = text_hits.orderBy(F.desc("score"), id_col).limit(k).select(id_col, F.col("score").cast("double").alias("e"))

@@ -61,6 +61,20 @@ def _whole_pairs(spark, sf) -> DataFrame:
     return b.join(head, "band").where("doc_id <> head").select("head", "doc_id").distinct()
 
 
+def _vectors(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+
+
+def _probes(spark, sf) -> DataFrame:
+    """The queries of the vector searches."""
+    return _vectors(spark, sf).where("vec_id % 50 = 0")
+
+
+def _whole_hybrid(spark, sf) -> DataFrame:
+    near = search.nearest_vectors(_vectors(spark, sf), _probes(spark, sf), 40).withColumnRenamed("vec_id", "doc_id")
+    return search.hybrid_each(search.exact(search.postings(_docs(spark, sf), "doc_id", "text"), QUERY_WORDS, "doc_id"), near, _probes(spark, sf), "doc_id", 40)
+
+
 QUERIES = {
     "seg_paragraph": lambda s, d: S.paragraphs(_docs(s, d)),
     "seg_sentence": lambda s, d: S.sentences(_docs(s, d)),
@@ -88,6 +102,10 @@ QUERIES = {
     "search_rank_bm25": lambda s, d: search.bm25(search.postings(_docs(s, d), "doc_id", "text"), QUERY_WORDS, "doc_id").select("doc_id", F.round("score", 6).alias("score")),
     "vector_topk": lambda s, d: search.similar_vectors(s.read.parquet(f"{d}/embeddings.parquet"), 0, 20),
     "vector_l2": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").crossJoin(F.broadcast(s.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").select(F.col("embedding").alias("q")))).select("vec_id", F.round(V.l2(F.col("embedding"), F.col("q")), 5).alias("distance")),
+    # every fiftieth row as a query; the SQL of search_hybrid, vector_topk and vector_l2 has one
+    "vector_topk_whole": lambda s, d: search.nearest_vectors(_vectors(s, d), _probes(s, d), 20),
+    "vector_l2_whole": lambda s, d: search.nearest_vectors(_vectors(s, d), _probes(s, d), None, "l2").withColumnRenamed("score", "distance"),
+    "search_hybrid_whole": _whole_hybrid,
     "vector_model_counts": lambda s, d: search.vector_review(s.read.parquet(f"{d}/embeddings.parquet"), "label"),
     "mention_ids": lambda s, d: _mentions(s, d).select("source_id", "segment_id", "mention_text").distinct().select("source_id", "segment_id", "mention_text", ids.mention_id(F.col("source_id"), F.lit("l"), F.coalesce("segment_id", F.lit("")), F.coalesce("mention_text", F.lit(""))).alias("id"), ids.canonical_ref(F.array(F.coalesce("mention_text", F.lit("")), F.lit("x"))).alias("canonical"), ids.fallback_ref(F.lit("character"), F.col("source_id"), F.coalesce("mention_text", F.lit(""))).alias("fallback")),
     "segment_ids": lambda s, d: _docs(s, d).select("doc_id", ids.segment_id(F.col("source"), F.lit("text"), F.concat(F.lit("Chapter/ 1/p"), F.col("doc_id").cast("string"))).alias("segment_id"), ids.uuid5(F.concat(F.lit("1:"), F.col("doc_id").cast("string"))).alias("fact_id")),
