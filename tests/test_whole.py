@@ -40,7 +40,7 @@ def test_signature_of_any_script_and_of_nothing(spark, tmp_path):
     got = {r.doc_id: r.signature.split(",") for r in run(spark, "minhash_sig_whole", d).collect()}
     want = {1: {"мост", "и", "река"}, 2: set(), 3: set(), 4: {"strasse", "école"}, 5: set()}
     assert got == {i: [least(w, b) for b in range(64)] for i, w in want.items()}
-    assert run(spark, "lsh_pairs_whole", d).where("head in (2, 3, 5)").count() == 0
+    assert run(spark, "lsh_pairs_whole", d).where("kind = 'link'").count() == 0
 
 
 def test_links_of_all_pairs_in_a_block(spark, tmp_path):
@@ -89,3 +89,21 @@ def test_vector_searches_of_every_fiftieth_row(spark, tmp_path):
     text = {5: 3 / 4, 300: 2 / 3}
     near = {q: {i: s for s, i in b[:40]} for q, b in best.items()}
     assert both == {(q, i): pytest.approx(0.5 * text.get(i, 0) + 0.5 * max(0, near[q].get(i, 0)), abs=2e-6) for q in near for i in {*near[q], *text}}
+
+
+def test_links_of_documents_that_are_no_heads_of_a_band(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: 40 + 4 * (i % 6)] + [f"x{int(j)}" for j in rng.integers(0, 500, i % 7)]) for i in range(40)]
+    texts += [texts[3].upper(), " ".join(reversed(texts[5].split())), "", None, "other words"]
+    d = table(spark, tmp_path, "documents", [(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    out = run(spark, "lsh_pairs_whole", d).collect()
+    of = {r.doc_id: r.head for r in out if r.kind == "member"}
+    links = {(r.head, r.doc_id): r.similarity for r in out if r.kind == "link"}
+    words = [frozenset((t or "").lower().split()) for t in texts]
+    assert of == {i: words.index(w) if w else i for i, w in enumerate(words)}
+    band = lambda w: {(b, *(least(w, 4 * b + i) for i in range(4))) for b in range(16)}
+    heads = sorted({of[i] for i, w in enumerate(words) if w})
+    bands = {i: band(words[i]) for i in heads}
+    alike = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a, b in combinations(heads, 2) if bands[a] & bands[b]}
+    assert links == {k: pytest.approx(s, abs=1e-6) for k, s in alike.items() if s >= 0.8} and len({a for a, _ in links}) > 3

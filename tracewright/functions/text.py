@@ -172,3 +172,20 @@ def _hex(sig: np.ndarray) -> list[str]:
 def signature(s: pd.Series) -> pd.Series:
     """minhash() with 64 hashes of the words of a text, each word hashed once a worker and not once a text."""
     return s.map(lambda t: _hex(_signed(_word_set(t))))
+
+
+def _profile(text: str | None) -> tuple:
+    some = _word_set(text)
+    if not some:
+        return None, [], [], [0] * 4
+    first, flips = sorted(int(_hashed(t)[0]) for t in some), [0] * 4
+    for h in first:
+        flips[h >> 6 & 3] ^= 1 << (h & 63)
+    signed = lambda x: [i - 2**64 if i >= 2**63 else i for i in x]
+    return hashlib.sha256("\x1f".join(sorted(some)).encode()).hexdigest(), _hex(_signed(some)), signed(first), signed(flips)
+
+
+@F.pandas_udf(T.StructType().add("words", T.StringType()).add("sig", T.ArrayType(T.StringType())).add("tokens", T.ArrayType(T.LongType())).add("parity", T.ArrayType(T.LongType())))
+def profile(s: pd.Series) -> pd.DataFrame:
+    """Of the word set of a text: a 256-bit hash (null for none), signature, 64-bit hashes, and the parity of their number in 256 buckets."""
+    return pd.DataFrame([_profile(t) for t in s], columns=["words", "sig", "tokens", "parity"])

@@ -10,6 +10,7 @@ from tracewright.functions import text as X
 from tracewright.functions import vectors as V
 from tracewright.operators import search
 from tracewright.operators import segments as S
+from tracewright.session import written
 
 
 def _docs(spark, sf) -> DataFrame:
@@ -55,10 +56,31 @@ def _whole_signatures(spark, sf) -> DataFrame:
     return _docs(spark, sf).select("doc_id", X.signature("text").alias("sig"))
 
 
-def _whole_pairs(spark, sf) -> DataFrame:
-    b = _whole_signatures(spark, sf).where(F.col("sig")[0] != "0" * 16).select("doc_id", F.explode(X.bands(F.col("sig"))).alias("band"))
-    head = b.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return b.join(head, "band").where("doc_id <> head").select("head", "doc_id").distinct()
+def _whole_pairs(spark, sf, threshold: float = 0.8) -> DataFrame:
+    """kind, head, doc_id, similarity: member is a document and the least one with its words, link two such heads that share a band and are this alike.
+
+    Two documents are alike as their heads are. Two sets of this similarity
+    differ in at most (1 - t) / (1 + t) of the sum of their sizes, and the
+    parities of their words differ in no more places than the sets do, so the
+    sets themselves are read for few pairs and no pair is lost.
+    """
+    p = _docs(spark, sf).select("doc_id", X.profile("text").alias("p")).select("doc_id", "p.words", "p.tokens", "p.parity", F.transform(X.bands(F.col("p.sig")), lambda x: F.xxhash64(x)).alias("bands"))
+    p = written(p, "profiles")
+    heads = p.where("words is not null").groupBy("words").agg(F.min("doc_id").alias("head"))
+    of = p.select("doc_id", "words").join(heads, "words", "left")
+    # without a word a document is like none, by the reference's rule not even like itself
+    members = of.select(F.lit("member").alias("kind"), F.coalesce("head", "doc_id").alias("head"), "doc_id", F.when(F.col("head").isNull(), 0.0).otherwise(1.0).alias("similarity"))
+    r = p.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
+    band = r.select("doc_id", F.size("tokens").alias("size"), "parity", F.explode("bands").alias("band"))
+    x, y = (band.select("band", F.col("doc_id").alias(f"{n}_id"), F.col("size").alias(f"{n}_size"), F.col("parity").alias(f"{n}_parity")) for n in "xy")
+    apart = sum((F.bit_count(F.col("x_parity")[i].bitwiseXOR(F.col("y_parity")[i])) for i in range(4)), F.lit(0))
+    size = F.col("x_size") + F.col("y_size")
+    near = (F.least("x_size", "y_size") >= threshold * F.greatest("x_size", "y_size")) & (apart <= (1 - threshold) / (1 + threshold) * size + 1e-9)
+    met = x.join(y, "band").where("x_id < y_id").where(near).select("x_id", "y_id").distinct()
+    sets = r.select("doc_id", "tokens")
+    met = met.join(sets.select(F.col("doc_id").alias("x_id"), F.col("tokens").alias("a")), "x_id").join(sets.select(F.col("doc_id").alias("y_id"), F.col("tokens").alias("b")), "y_id")
+    links = met.select(F.lit("link").alias("kind"), F.col("x_id").alias("head"), F.col("y_id").alias("doc_id"), X.jaccard(F.col("a"), F.col("b")).alias("s")).where(F.col("s") >= threshold)
+    return members.unionByName(links.select("kind", "head", "doc_id", F.round("s", 6).alias("similarity")))
 
 
 def _vectors(spark, sf) -> DataFrame:
