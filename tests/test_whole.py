@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import re
+import unicodedata
 from itertools import combinations
 
 import numpy as np
@@ -107,3 +109,13 @@ def test_links_of_documents_that_are_no_heads_of_a_band(spark, tmp_path):
     bands = {i: band(words[i]) for i in heads}
     alike = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a, b in combinations(heads, 2) if bands[a] & bands[b]}
     assert links == {k: pytest.approx(s, abs=1e-6) for k, s in alike.items() if s >= 0.8} and len({a for a, _ in links}) > 3
+
+
+def test_names_of_one_word_and_of_any_script(spark, tmp_path):
+    some = [" Rebecca.", "rebecca", "Rebecca Moss", "moss, REBECCA", "Иван", "иван!", "Пётр", "田中", "山本", "École", "ecole", "a b c d e", "a b c d", "a b c", "...", "", "ＲＥＢＥＣＣＡ?"]
+    d = table(spark, tmp_path, "source_mention", [*[("w", x) for x in some], ("v", "rebecca"), (None, "rebecca"), ("w", None)], "work_id string, mention_text string")
+    got = {(r.work_id, r.left_name, r.right_name): r.similarity for r in run(spark, "jaccard_pairs_whole", d).collect()}
+    sets = {x.lower(): {w for w in re.split(r"\W+", unicodedata.normalize("NFKC", x).casefold()) if w} for x in some}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b]}
+    assert got == {("w", *k): pytest.approx(s, abs=1e-6) for k, s in alike.items() if s >= 0.8}
+    assert ("w", " rebecca.", "rebecca") in got and ("w", "иван", "иван!") in got

@@ -137,3 +137,23 @@ def similar_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = n.select("work_id", "name", "t")
     x = pairs.join(sets.select("work_id", F.col("name").alias("left_name"), F.col("t").alias("ta")), ["work_id", "left_name"]).join(sets.select("work_id", F.col("name").alias("right_name"), F.col("t").alias("tb")), ["work_id", "right_name"])
     return x.select("work_id", "left_name", "right_name", F.round(X.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def alike_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """`similar_names` for names in any script and of any number of words: lower-case spellings by the words of their normal forms.
+
+    A name without a word is like none. Names of the same words all meet, as
+    they are all in the result; other names need a size that this similarity allows.
+    """
+    n = names.where("work_id is not null and mention_text is not null").select("work_id", F.lower("mention_text").alias("name")).distinct()
+    n = n.withColumn("t", X.words("name")).where("size(t) >= 1")
+    word = n.select("work_id", "name", F.size("t").alias("size"), F.explode("t").alias("w"))
+    freq = word.groupBy("work_id", "w").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("work_id", "name").orderBy("f", "w")
+    rare = word.join(freq, ["work_id", "w"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
+    a, b = (rare.select("work_id", "w", F.col("name").alias(f"{x}_name"), F.col("size").alias(f"{x}_size")) for x in ("left", "right"))
+    fits = F.least("left_size", "right_size") >= threshold * F.greatest("left_size", "right_size")
+    pairs = a.join(b, ["work_id", "w"]).where("left_name < right_name").where(fits).select("work_id", "left_name", "right_name").distinct()
+    ta, tb = (n.select("work_id", F.col("name").alias(f"{x}_name"), F.col("t").alias(y)) for x, y in (("left", "ta"), ("right", "tb")))
+    x = pairs.join(ta, ["work_id", "left_name"]).join(tb, ["work_id", "right_name"]).withColumn("s", X.jaccard(F.col("ta"), F.col("tb")))
+    return x.where(F.col("s") >= threshold).select("work_id", "left_name", "right_name", F.round("s", 6).alias("similarity"))

@@ -109,6 +109,8 @@ QUERIES = {
     "struct_cooccur": lambda s, d: S.cooccurrences(S.paragraphs(_docs(s, d)), ["doc_id", "paragraph"]),
     "soundex_key": lambda s, d: _names(s, d).select("mention_text").distinct().select("mention_text", X.soundex(X.ascii_only(F.col("mention_text"))).alias("key")),
     "jaccard_pairs": lambda s, d: search.similar_names(_names(s, d)),
+    # one-word names and all scripts too, which the SQL of jaccard_pairs has not
+    "jaccard_pairs_whole": lambda s, d: search.alike_names(_names(s, d)),
     "minhash_sig": lambda s, d: _signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
     "lsh_pairs": _pairs,
     "minhash_sig_whole": lambda s, d: _whole_signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
