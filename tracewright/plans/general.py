@@ -16,20 +16,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(a.unionByName(b), ["record_kind", "source_id", "track_id"], "s_", "e_")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state after the whole of semantic_event, applied to current_state."""
-    base = spark.read.parquet(f"{sf_dir}/current_state.parquet").select(F.col("entity_ref").alias("entity"), "predicate", "seq")
+_VALUES = ("object_ref", "authority", "state", "confidence")
+
+
+def _state_after_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = spark.read.parquet(f"{sf_dir}/current_state.parquet").select(F.col("entity_ref").alias("entity"), "predicate", "seq", *_VALUES)
     feed = spark.read.parquet(f"{sf_dir}/semantic_event.parquet").select(
         F.col("event_type").alias("kind"),
         F.coalesce("payload.subject_ref", "payload.entity_ref").alias("entity"),
         F.coalesce("payload.predicate_code", "payload.predicate").alias("predicate"),
         "seq",
         F.col("idempotency_key").alias("k"),
+        F.col("payload.object_ref").alias("object_ref"),
+        "authority",
+        F.col("payload.state").alias("state"),
+        "confidence",
     )
-    return apply_changes(base, feed).where("predicate <> 'CANONICAL_IDENTITY'").select(F.col("entity").alias("entity_ref"), "predicate", "seq")
+    rows = apply_changes(base, feed, values=_VALUES).where("predicate <> 'CANONICAL_IDENTITY'")
+    return rows.select(F.col("entity").alias("entity_ref"), "predicate", "seq", *_VALUES)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_ref, predicate, seq of every row of the state after the whole of semantic_event, applied to current_state."""
+    return _state_after_feed(spark, sf_dir).select("entity_ref", "predicate", "seq")
+
+
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with all their values."""
+    return _state_after_feed(spark, sf_dir)
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_rows": p3_rows}
 
 SQL = {
     "p2_found": """
@@ -63,6 +80,23 @@ WITH ev AS (
   SELECT e, p, max(seq) AS seq FROM img GROUP BY e, p
 )
 SELECT e AS entity_ref, p AS predicate, seq FROM last
+WHERE p <> 'CANONICAL_IDENTITY' AND NOT EXISTS (
+  SELECT 1 FROM ok d WHERE d.kind = 'Invalidated' AND d.e = last.e AND (d.p IS NULL OR d.p = last.p) AND d.seq >= last.seq)
+""",
+    "p3_rows": """
+WITH ev AS (
+  SELECT DISTINCT event_type AS kind, coalesce(payload.subject_ref, payload.entity_ref) AS e, coalesce(payload.predicate_code, payload.predicate) AS p, seq, idempotency_key AS k,
+    payload.object_ref AS object_ref, authority, payload.state AS state, confidence FROM semantic_event
+), ok AS (
+  SELECT * FROM ev WHERE k IS NULL OR seq = (SELECT min(x.seq) FROM ev x WHERE x.k = ev.k)
+), img AS (
+  SELECT entity_ref AS e, predicate AS p, seq, 0 AS rank, object_ref, authority, state, confidence FROM current_state
+  UNION ALL
+  SELECT e, p, seq, 1, object_ref, authority, state, confidence FROM ok WHERE kind IN ('SemanticAsserted', 'OverrideApplied', 'CorrectionApplied') AND e IS NOT NULL AND p IS NOT NULL
+), last AS (
+  SELECT * FROM img QUALIFY row_number() OVER (PARTITION BY e, p ORDER BY seq DESC, rank DESC, object_ref DESC NULLS LAST, authority DESC NULLS LAST, state DESC NULLS LAST, confidence DESC NULLS LAST) = 1
+)
+SELECT e AS entity_ref, p AS predicate, seq, object_ref, authority, state, confidence FROM last
 WHERE p <> 'CANONICAL_IDENTITY' AND NOT EXISTS (
   SELECT 1 FROM ok d WHERE d.kind = 'Invalidated' AND d.e = last.e AND (d.p IS NULL OR d.p = last.p) AND d.seq >= last.seq)
 """,
