@@ -43,3 +43,40 @@ def test_empty_and_ties(spark):
 
     c, p = fill(np.array([[5, 1, 5]] * 4), (10, 9, 10))
     assert list(c) == [0, 0, 1, 1] and list(p) == [0, 1, 0, 1]
+
+
+def test_every_limit_binds_and_choice_is_the_largest_product():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    t = r.integers(1, 60, 700)
+    sizes = np.stack([t, np.ones_like(t), np.minimum((t * r.random(700)).astype(int), 45)], 1)
+    limits = (100, 4, 45)
+    c, place = fill(sizes, limits)
+    by = {}
+    for i in np.lexsort((place, c)):
+        by.setdefault(int(c[i]), []).append(i)
+    assert all((sizes[own].sum(axis=0) <= limits).all() for own in by.values())
+    # each item taken is the best of those left, by plain comparison
+    left, cap = set(range(700)), np.array(limits, float)
+    for n in range(len(by)):
+        room = np.array(limits)
+        for i in by[n]:
+            score = {j: (sizes[j] * room / cap / cap)[[0, 2]].sum() for j in left if (sizes[j] <= room).all()}
+            assert abs(score[i] - max(score.values())) < 1e-12
+            left.discard(i)
+            room = room - sizes[i]
+        assert not any((sizes[j] <= room).all() for j in left)
+
+
+def test_many_different_items_take_linear_time():
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    t = r.integers(1, 1500, 40_000)
+    sizes = np.stack([t, np.ones_like(t), np.minimum((t * r.random(40_000)).astype(int), 1024)], 1)
+    began = time.time()
+    fill(sizes, (2048, 64, 1024))
+    assert time.time() - began < 30

@@ -4,8 +4,9 @@ An item is a vector (tokens, segments, loss-bearing tokens) and a container has
 a limit in each of them. Containers are filled one after the other; the next
 item is the one that fits with the largest dot product of its sizes and the room
 left (both as parts of the limits), so that an item is drawn to a container that
-has room where the item needs it. Items of equal sizes are one class, hence a
-choice costs one pass over the classes and not over the items.
+has room where the item needs it. For each number of tokens the loss sizes of the
+items that are left are kept in order, so a choice looks at one candidate for
+each number of tokens there is, whatever the number of items.
 
 Items are spread by hash over groups of about `group_size`, which bounds what
 one task holds, and every group is packed on its own. The containers that stay
@@ -17,6 +18,7 @@ every group.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,54 +26,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import written
+from tracewright.session import discard, written
 
 
 def fill(sizes: np.ndarray, limits: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Container number and place in it, for each row of sizes (n x 3, integers).
+    """Container number and place in it, for each row of sizes (n x 3 integers: tokens, 1, loss <= tokens).
 
     Every row must fit an empty container. Rows are taken in their order among
-    equals, so the result depends on nothing but the input.
+    equals, so the result depends on nothing but the input; of equal products
+    the item with more tokens goes first.
     """
-    cap = np.asarray(limits, dtype=np.int64)
+    cap, segments, bear = (int(x) for x in limits)
     n = len(sizes)
+    if n and (sizes > (cap, segments, bear)).any():
+        raise ValueError("an item exceeds a limit")
     container, place = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
-    if not n:
-        return container, place
-    classes, which = np.unique(sizes, axis=0, return_inverse=True)
-    classes, which = classes[::-1], len(classes) - 1 - which.ravel()
-    queue = np.argsort(which, kind="stable")
-    starts = np.searchsorted(which[queue], np.arange(len(classes)))
-    left = np.bincount(which, minlength=len(classes))
-    weight = classes / cap / cap
-    live = np.arange(len(classes))
-    size_l, weight_l = classes, weight
-    number, remaining = 0, n
-    while remaining:
-        room, k = cap.copy(), 0
-        # classes are in falling order of tokens: what fits starts at a border
-        while True:
-            first = int(np.searchsorted(-size_l[:, 0], -room[0]))
-            if first == len(live):
+    # for each number of tokens the loss sizes that items of it have, rising, with their rows
+    rows: dict[tuple[int, int], list[int]] = {}
+    for i in range(n - 1, -1, -1):
+        rows.setdefault((int(sizes[i, 0]), int(sizes[i, 2])), []).append(i)
+    tokens = np.array(sorted({k[0] for k in rows}, reverse=True), dtype=np.int64)
+    losses: list[list[int]] = [[] for _ in tokens]
+    at = {int(t): j for j, t in enumerate(tokens)}
+    for t, b in sorted(rows):
+        losses[at[t]].append(b)
+    most = np.array([x[-1] for x in losses], dtype=np.int64)  # -1 once no item is left
+    left, number = n, 0
+    while left:
+        room, room_l, k = cap, bear, 0
+        while k < segments and room:
+            first = int(np.searchsorted(-tokens, -room))
+            x, y = room / cap / cap, room_l / bear / bear
+            # what an item of so many tokens could add at most; exact unless its largest loss does not fit
+            most_ = most[first:]
+            score = np.where(most_ >= 0, tokens[first:] * x + np.minimum(most_, room_l) * y, -1.0)
+            found = None
+            while len(score):
+                j = int(score.argmax())
+                if score[j] < 0:
+                    break
+                own = losses[first + j]
+                e = bisect_right(own, room_l) - 1
+                exact = -1.0 if e < 0 else int(tokens[first + j]) * x + own[e] * y
+                if exact >= score[j]:
+                    found = (first + j, e)
+                    break
+                score[j] = exact
+            if found is None:
                 break
-            ok = (size_l[first:] <= room).all(axis=1)
-            score = np.where(ok, weight_l[first:] @ room, -1.0)
-            best = int(np.argmax(score))
-            if score[best] < 0:
-                break
-            best += first
-            c = live[best]
-            take = 1
-            i = queue[starts[c] : starts[c] + take]
+            j, e = found
+            key = (int(tokens[j]), losses[j][e])
+            i = rows[key].pop()
             container[i], place[i] = number, k
-            starts[c] += take
-            left[c] -= take
-            remaining -= take
-            k += take
-            room -= size_l[best]
-            if not left[c]:
-                live = np.delete(live, best)
-                size_l, weight_l = classes[live], weight[live]
+            k, left, room, room_l = k + 1, left - 1, room - key[0], room_l - key[1]
+            if not rows[key]:
+                losses[j].pop(e)
+                most[j] = losses[j][-1] if losses[j] else -1
         number += 1
     return container, place
 
@@ -82,7 +92,7 @@ def pack(
     tokens: str,
     loss: str | None = None,
     limits: Sequence[int] = (2048, 1024, 2048),
-    group_size: int = 100_000,
+    group_size: int = 20_000,
     full: float = 0.999,
 ) -> DataFrame:
     """container_id bigint, the id, piece int, start_token int, n_tokens int, place int.
@@ -118,12 +128,16 @@ def pack(
             n, b = table.column("n").to_numpy(), table.column("loss").to_numpy()
             sizes = np.stack([n, np.ones_like(n), b], axis=1).astype(np.int64)
             c, place = fill(sizes, limits)
-            used = np.bincount(c, weights=n) / limits[0] if len(c) else np.zeros(0)
+            # how full a container is, by the limit that is nearest
+            used = np.max([np.bincount(c, weights=w) / m for w, m in zip(sizes.T, limits)], axis=0) if len(c) else np.zeros(0)
             return pa.table({"c": (np.int64(number) << 56) + (np.int64(key[0].as_py()) << 32) + c, "i": table.column("i"), "piece": table.column("piece"), "at": table.column("at"), "n": table.column("n"), "loss": table.column("loss"), "place": pa.array(place), "used": used[c]})
 
-        return rows.withColumn("g", F.pmod(F.xxhash64("i", "piece", "at"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(run, schema)
+        spread = rows.withColumn("g", F.pmod(F.xxhash64("i", "piece", "at"), F.lit(groups)).cast("int"))
+        # few bytes are much work here: the number of tasks follows the groups, not the bytes
+        return spread.repartition(groups, "g").groupBy("g").applyInArrow(run, schema)
 
     once = written(level(df, 0, group_size), "packed")
+    discard(df)
     rest = once.where(F.col("used") < full).select("i", "piece", "at", "n", "loss")
     out = once.where(F.col("used") >= full).unionByName(level(rest, 1, 4 * group_size))
     return out.select(F.col("c").alias("container_id"), F.col("i").alias(id_col), "piece", F.col("at").alias("start_token"), F.col("n").alias("n_tokens"), "place")

@@ -43,12 +43,24 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, "doc_id", "n_tokens", limits=(2048, 2048, 2048))
 
 
+def p8_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as instruction examples: what comes before the first blank line asks, the rest answers and bears the loss.
+
+    Containers hold 2,048 tokens, 12 examples and 1,024 tokens that bear loss.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(F.contains("text", F.lit("\n\n")), F.substring_index("text", "\n\n", 1)).otherwise("").alias("asked"), "text")
+    docs = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("asked").alias("text")), F.struct(F.lit(1).alias("side"), F.col("text").substr(F.length("asked") + 1, F.length("text")).alias("text")))).alias("x"))
+    sized = tokens.encode_column(docs.select(F.struct("doc_id", "x.side").alias("at"), "x.text"), "at", "text", only_count=True)
+    sized = sized.groupBy("at.doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.when(F.col("at.side") == 1, F.col("n_tokens"))).alias("loss"))
+    return packing.pack(sized, "doc_id", "n_tokens", "loss", limits=(2048, 12, 1024))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, shared_chars of every document with a stretch of 200 characters that another has too."""
     return spans.shared_chars(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 200)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_instructions": p8_instructions, "p9_found": p9_found}
 
 SQL = {
     "p1_found": r"""
