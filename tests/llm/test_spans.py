@@ -69,4 +69,21 @@ def test_parts_of_long_texts(spark, monkeypatch):
 def test_empty(spark):
     assert run(spark, []) == {}
     with pytest.raises(ValueError):
-        run(spark, [], 50)
+        run(spark, [], 0)
+    with pytest.raises(ValueError):
+        run(spark, [], spans.PART)
+
+
+@pytest.mark.parametrize("length", (1, 7, 50, 1000))
+def test_any_length(spark, length):
+    rows = texts(length)
+    if length == 1000:
+        r = random.Random(2)
+        long_ = ["".join(r.choice("abc dé") for _ in range(1800)) for _ in range(3)]
+        rows += [(300 + i, x[: 1000 + i] + "#" * i + x[1000:]) for i, x in enumerate(long_ * 3)]
+    assert run(spark, rows, length) == brute(rows, length)
+
+
+def test_more_ids_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SENT", 2)
+    assert run(spark, texts(4)) == brute(texts(4), 200)

@@ -1,27 +1,31 @@
 """Long spans that stand verbatim in more than one text.
 
-Compact windows: the tokens of a text are its runs of `GRAM` code points, each
-with a hash. In the Cartesian tree over these hashes, the node of a token spans
-all subsequences in which it is the minimum, so one row stands for all of them.
-Only nodes at least `t = length - GRAM + 1` wide matter (about 2/t of the
-tokens); they are the runs of equal positions in the sliding minimum over t
-tokens, which gives them without the narrower rest of the tree.
+Compact windows: the tokens of a text are its runs of `gram` code points (a third
+of the span at most, see `gram_of`), each with a hash. In the Cartesian tree over
+these hashes, the node of a token spans all subsequences in which it is the
+minimum, so one row stands for all of them. Only nodes at least
+`t = length - gram + 1` wide matter (about 2/t of the tokens); they are the runs
+of equal positions in the sliding minimum over t tokens, which gives them without
+the narrower rest of the tree.
 
 A span of `length` code points that stands in two texts has the same minimum in
 both, whatever the hash, so the windows that share it meet in a join on one
 hash: for verbatim spans one is enough, and it misses none.
 
-The spans are then checked exactly. Windows whose whole stretch of text (the
-starts of all its spans) is the same in two texts are shared as a whole. Of the
-others only those whose minimum occurs in another text are looked into, start by
-start, with a 96-bit hash of the span. Nothing is ever paired: for each hash the
-smallest and the largest id tell whether a second text has it, and they are
-aggregated before the shuffle.
+The spans are then checked. Windows whose whole stretch of text (the starts of
+all its spans) is the same in two texts are shared as a whole. Of the others only
+those whose minimum occurs in another text are looked into, start by start, and
+only the texts that have such windows are read again. Texts are compared by two
+hashes that are independent of each other, 96 bits together: among 10^12 spans
+the chance of one false match is about 10^-5. Nothing is ever paired: for each
+hash the smallest and the largest id tell whether a second text has it, and they
+are aggregated before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,22 @@ from pyspark.sql import functions as F
 
 from tracewright.session import discard, written
 
-GRAM = 64
 #: Code points hashed at once; longer texts are cut into overlapping parts.
 PART = 1 << 20
+#: Ids of texts to be read again that are sent to all tasks (8 MB of numbers); more go through a shuffle.
+SENT = 1_000_000
 
 _U = np.uint64
 _SEEDS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+_AT = _U(22)  # bits of a position beside the hash of its gram
+
+
+def gram_of(length: int) -> int:
+    """The largest power of two that is no more than a third of the span."""
+    g = 1
+    while g * 6 <= length:
+        g *= 2
+    return g
 
 
 def _mixed(x: np.ndarray, m: int) -> np.ndarray:
@@ -46,23 +60,34 @@ def _mixed(x: np.ndarray, m: int) -> np.ndarray:
     return x
 
 
-def _grams(codes: np.ndarray, seed: int) -> dict[int, np.ndarray]:
-    """Hashes of all runs of 64, 128 and 256 code points, by doubling."""
-    a, m = _SEEDS[seed]
-    x, w, out = _mixed(codes.astype(np.uint64) + _U(a), m), 1, {}
-    while w < 256:
-        x = _mixed(x[:-w] * _U(a) + x[w:] + _U(w), m) if len(x) > w else x[:0]
-        w *= 2
-        if w >= 64:
-            out[w] = x
-    return out
+@lru_cache(maxsize=8)
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    a = _SEEDS[seed][0]
+    out = []
+    for base in (a, pow(a, -1, 1 << 64)):
+        x = np.full(n, base, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+class _Hashes:
+    """Hashes of any stretch of some code points, in constant time each."""
+
+    def __init__(self, codes: np.ndarray, seed: int) -> None:
+        self.m = _SEEDS[seed][1]
+        n = 1 << max(10, int(len(codes) + 1).bit_length())
+        up, self.down = _powers(seed, n)
+        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(_mixed(codes.astype(np.uint64) + _U(_SEEDS[seed][0]), self.m) * up[: len(codes)], out=self.sums[1:])
 
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64), self.m)
 
-def _span_hash(g: dict[int, np.ndarray], at: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """Hash of [at, at + length), for 128 <= length <= 256."""
-    a, m = _SEEDS[seed]
-    x = g[128]
-    return _mixed(x[at] * _U(a) + x[at + length - 128] + _U(length), m)
+    def grams(self, size: int) -> np.ndarray:
+        n = max(0, len(self.sums) - size)
+        return _mixed((self.sums[size:] - self.sums[:n]) * self.down[:n] + _U(size), self.m)
 
 
 def _parts(texts: list[str | None], length: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
@@ -89,27 +114,24 @@ def _parts(texts: list[str | None], length: int) -> Iterator[tuple[np.ndarray, l
 
 
 def _leftmost_minimum(h: np.ndarray, t: int) -> np.ndarray:
-    """Position of the leftmost minimum of every t neighbours, by doubling."""
-    n, w = len(h), 1
-    v, p = h, np.arange(n, dtype=np.int64)
+    """Position of the leftmost minimum of every t neighbours, by doubling. Hash and position are one number, so that ties go to the left."""
+    v, w = (h >> _AT << _AT) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * w <= t:
-        left = v[:-w] <= v[w:]
-        v, p = np.where(left, v[:-w], v[w:]), np.where(left, p[:-w], p[w:])
+        v = np.minimum(v[:-w], v[w:])
         w *= 2
-    d = t - w
-    if d:
-        left = v[:-d] <= v[d:]
-        p = np.where(left, p[:-d], p[d:])
-    return p
+    if t > w:
+        v = np.minimum(v[: len(v) - (t - w)], v[t - w :])
+    return (v & _U((1 << int(_AT)) - 1)).astype(np.int64)
 
 
 def compact_windows(texts: list[str | None], length: int) -> dict[str, np.ndarray]:
     """row, g (hash of the minimum), c1 and c2 (hash of the stretch, 96 bits), lo, hi (first and last start)."""
-    t = length - GRAM + 1
+    gram = gram_of(length)
+    t = length - gram + 1
     got: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "g", "c1", "c2", "lo", "hi")}
     for codes, places in _parts(texts, length):
-        grams = [_grams(codes, s) for s in (0, 1)]
-        h = grams[0][64]
+        one, two = _Hashes(codes, 0), _Hashes(codes, 1)
+        h = one.grams(gram)
         p = _leftmost_minimum(h, t)  # p[s]: of the span that starts at s
         size = np.array([x[3] for x in places])
         begin = np.array([x[2] for x in places])
@@ -123,14 +145,7 @@ def compact_windows(texts: list[str | None], length: int) -> dict[str, np.ndarra
         last = np.append(first[1:], len(s)) - 1
         lo, hi, a, part = s[first], s[last], a[first], part[first]
         end = hi + length
-        c = []
-        for seed in (0, 1):
-            g, (m1, m2) = grams[seed], _SEEDS[seed]
-            long_ = end - lo >= 256
-            x = np.empty(len(lo), dtype=np.uint64)
-            for w, sel in ((256, long_), (128, ~long_)):
-                x[sel] = g[w][lo[sel]] * _U(m1) + g[w][end[sel] - w]
-            c.append(_mixed(x + ((end - lo).astype(np.uint64) << _U(20)) + (a - lo).astype(np.uint64), m2))
+        c = [_mixed(x.of(lo, end) + (a - lo).astype(np.uint64), x.m) for x in (one, two)]
         gh = h[a]
         # a periodic stretch has a window at every start; neighbours with the same text are one row
         keep = np.ones(len(lo), dtype=bool)
@@ -153,7 +168,7 @@ def span_hashes(text: str, starts: np.ndarray, length: int) -> tuple[np.ndarray,
         if len(sel):
             part = codes[at : at + PART + length]
             for seed, out in ((0, one), (1, two)):
-                out[sel] = _span_hash(_grams(part, seed), starts[sel] - at, length, seed)
+                out[sel] = _Hashes(part, seed).of(starts[sel] - at, starts[sel] - at + length)
     return one.view(np.int64), (two.view(np.int64) >> 32).astype(np.int32)
 
 
@@ -161,11 +176,11 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200)
     """(id, lo, hi): every span of `length` code points that starts in [lo, hi] stands in another text too.
 
     ids must be unique; texts are compared whole and as they are. Null texts
-    and texts shorter than `length` (128 to 256) share nothing, nor does a
+    and texts shorter than `length` (1 to half of PART) share nothing, nor does a
     passage that repeats within one text only. Extra columns are ignored.
     """
-    if not 128 <= length <= 256:
-        raise ValueError("length must be from 128 to 256")
+    if not 1 <= length <= PART // 2:
+        raise ValueError(f"length must be from 1 to {PART // 2}")
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") >= length)
 
@@ -188,7 +203,9 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200)
     open_ = stretch.where("not many").select("g").distinct()
     once = cand.join(stretch.where("not many").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("i", "lo", "hi", F.lit(False).alias("many"))
     others = stretch.where("many").join(open_, "g", "left_semi").select("first.i", "first.lo", "first.hi", F.lit(True).alias("many"))
-    asked = once.unionByName(others).groupBy("i").agg(F.collect_list(F.struct("lo", "hi", "many")).alias("asked"))
+    asked = written(once.unionByName(others).groupBy("i").agg(F.collect_list(F.struct("lo", "hi", "many")).alias("asked")), "asked")
+    # texts that are not asked for are dropped where they are read, if the ids of the others are few enough to be sent there
+    again = base.join(F.broadcast(asked.select("i")), "i", "left_semi") if asked.count() <= SENT else base
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,11 +219,12 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 200)
                     ids = batch.column(0).take(pa.array(np.full(len(starts), n)))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(starts.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.full(len(starts), many))], names=["i", "s", "h1", "h2", "many"])
 
-    single = written(base.join(asked, "i").select("i", "t", "asked").mapInArrow(spans, f"i {kind}, s int, h1 bigint, h2 int, many boolean"), "spans")
+    single = written(again.join(asked, "i").select("i", "t", "asked").mapInArrow(spans, f"i {kind}, s int, h1 bigint, h2 int, many boolean"), "spans")
     twice = single.groupBy("h1", "h2").agg(F.min("i").alias("x"), F.max("i").alias("y"), F.max("many").alias("m")).where("x < y or m").select("h1", "h2")
     part = single.where("not many").join(twice, ["h1", "h2"], "left_semi").select("i", F.col("s").alias("lo"), F.col("s").alias("hi"))
     out = written(whole.unionByName(part), "shared")
     discard(cand)
+    discard(asked)
     discard(single)
     return out.select(F.col("i").alias(id_col), "lo", "hi")
 
