@@ -63,3 +63,17 @@ def test_somebody_else_named_there(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == {} and run(spark, [], [("w", "Ann", None)]) == {} and run(spark, [("e", "w", None, None, None)], [("w", "Ann", None)]) == {}
+
+
+def test_names_of_any_length(spark):
+    label = "Royal and Ancient Society of Bell Founders of the Upper Joorn Valley"
+    reg = [("e1", "w", label, [], True), ("e2", "w", "Maria Anna Sofia Luisa Carlota Ines Juana Teresa Pilar Moss", [], False)]
+    men = [("w", label, None), ("w", label.upper() + ".", None), ("w", reg[1][2], None), ("w", "Maria Moss", None), ("w", " ".join(f"word{i}" for i in range(3000)), None)]
+    assert run(spark, reg, men) == {0: "e1", 1: "e1", 2: "e2", 3: "e2"}
+
+
+def test_kinds_of_organisations_are_learned(spark):
+    # a guild that nobody registered is somebody else in the work, because others are called guilds
+    reg = [("e1", "w", "Joorn Rope Guild", [], True), ("e2", "v", "Prann Bell Guild", [], True)]
+    men = [("w", "Joorn Rope", None), ("w", "Joorn Rope Guild", None), ("w", "Joorn Bell Guild", None), ("w", "Joorn", None)]
+    assert run(spark, reg, men) == {0: "e1", 1: "e1"}

@@ -16,7 +16,8 @@ work, those that no more frequent one claims. A spelling belongs to the centre
 with the best level and score; one that fits two centres equally well belongs to
 none.
 
-Short forms of given names beyond the table are learned: from the registered
+What organisations are called by (their last words) is learned from the registry.
+Short forms of given names beyond the table are learned too: from the registered
 aliases, from mentions that tell their entity, and from pairs of given names
 that stand before the same surname in several works and hardly elsewhere.
 """
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.session import written
@@ -39,8 +40,6 @@ TITLES = frozenset(
     "mr mrs ms miss mister missus mx dr doctor prof professor sir lady lord dame madam madame rev revd reverend capt captain col colonel maj major "
     "lt lieutenant gen general sgt sergeant adm admiral hon judge fr father sr sister br bro brother aunt uncle monsieur mme mlle herr frau".split()
 )
-#: What an organisation's name may end in, with common abbreviations.
-KINDS = frozenset("association brothers company department institute laboratory manufactory railway society bank club college council foundation guild hospital library ministry museum office press school trust union university works corporation limited".split())
 _ARTICLES = frozenset(("the", "a", "an"))
 #: Words in place of a name.
 NO_NAMES = frozenset("i me my he him his she her hers it its they them their we us our you your who someone somebody anyone anybody everyone everybody nobody none unknown anonymous nil null na nan narrator".split())
@@ -255,7 +254,7 @@ def units(words: list[str], names: bool, short: dict[str, set[str]] | None = Non
     if len(words) == 1:
         return {words[0]} | ({s for s in (short or {}).get(words[0], ())})
     body = words[:-1] if organisation else words
-    out = {w for w in body if len(w) > 1 and w not in KINDS}
+    out = {w for w in body if len(w) > 1}
     out.add("".join(words))
     if names:
         if organisation:
@@ -308,7 +307,7 @@ def fits(spellings: DataFrame, names: DataFrame) -> DataFrame:
     near = _banded(s.select("work_id", "unit").distinct()).withColumnRenamed("unit", "u").join(_banded(n.select("work_id", "unit").distinct()).withColumnRenamed("unit", "v"), ["work_id", "band"])
     # a swap of neighbours is two of Levenshtein's edits, so this keeps all that `edits` accepts
     most = F.when(F.greatest(F.length(u), F.length(v)) < 8, 2).otherwise(4)
-    near = near.where((F.abs(F.length(u) - F.length(v)) <= 2) & (F.levenshtein(u, v) <= most)).select("work_id", "u", "v").distinct()
+    near = near.where((F.abs(F.length(u) - F.length(v)) <= 2) & F.levenshtein(u, v, 4).between(0, most)).select("work_id", "u", "v").distinct()
     met = s.select("work_id", F.col("id").alias("spelling"), F.col("unit").alias("u")).join(near, ["work_id", "u"]).select("work_id", "spelling", "v")
     met = met.join(n.select("work_id", F.col("id").alias("name"), F.col("unit").alias("v")), ["work_id", "v"]).select("work_id", "spelling", "name").distinct()
     pairs = met.join(spellings.select("work_id", F.col("id").alias("spelling"), "words", "given"), ["work_id", "spelling"]).join(
@@ -366,12 +365,12 @@ def link_mentions(mentions: DataFrame, registry: DataFrame, short_forms: DataFra
     m = mentions.select(F.col("mention_id").cast("string").alias("mention_id"), "work_id", "mention_text", F.col("entity_id").cast("string").alias("entity_id")).where("work_id is not null and mention_text is not null").distinct()
     # every distinct text is parsed once
     texts = _parsed(m.groupBy("work_id", "mention_text").agg(F.count("*").alias("n")), "mention_text", ["work_id", "n", "mention_text"])
-    texts = written(texts.where("size(words) between 1 and 8").withColumn("id", F.concat_ws(" ", "words")), "texts")
+    texts = written(texts.where("size(words) > 0").withColumn("id", F.concat_ws(" ", "words")), "texts")
 
     r = registry.where("work_id is not null").select("entity_ref", "work_id", "display_label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("organisation", F.lit(False)).alias("organisation")).distinct()
     called = r.select("entity_ref", "work_id", "organisation", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("main"), F.col("display_label").alias("text"))), F.transform("aliases", lambda a: F.struct(F.lit(False).alias("main"), a.alias("text"))))).alias("x"))
     called = _parsed(called.select("entity_ref", "work_id", "organisation", "x.main", "x.text").where("text is not null"), "text", ["entity_ref", "work_id", "organisation", "main"])
-    called = written(called.where("size(words) between 1 and 8").distinct(), "called")
+    called = written(called.where("size(words) > 0").distinct(), "called")
     main = called.where("main").select("entity_ref", "work_id", "organisation", "words")
     persons = main.where("not organisation and size(words) > 1").select("entity_ref", "work_id", F.element_at("words", 1).alias("g"), F.element_at("words", -1).alias("surname"))
 
@@ -418,22 +417,23 @@ def link_mentions(mentions: DataFrame, registry: DataFrame, short_forms: DataFra
 
     # others in the work: full names that mean nobody registered
     best = first.groupBy("work_id", F.col("spelling").alias("id")).agg(F.max("level").alias("level"))
-    full = spell.where("size(words) between 2 and 4 and forall(words, w -> length(w) > 1)").join(best.where("level >= 2"), ["work_id", "id"], "left_anti")
-    kinds = F.array(*[F.lit(k) for k in sorted(KINDS)])
-    full = full.where("not exists(words, w -> w rlike '[0-9]')").select("work_id", "id", "words", F.array_contains(kinds, F.element_at("words", -1)).alias("organisation"), "n", "given")
+    full = spell.where("size(words) > 1 and forall(words, w -> length(w) > 1)").join(best.where("level >= 2"), ["work_id", "id"], "left_anti")
+    # what organisations are called by: last words that the names of several registered ones share
+    kinds = main.where("organisation and size(words) > 1").groupBy(F.element_at("words", -1).alias("end_")).agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x <> y").select("end_", F.lit(True).alias("organisation"))
+    full = full.where("not exists(words, w -> w rlike '[0-9]')").withColumn("end_", F.element_at("words", -1)).join(kinds, "end_", "left")
+    full = full.select("work_id", "id", "words", F.coalesce("organisation", F.lit(False)).alias("organisation"), "n", "given")
     # a name of a person has a known given name in front; other capitalised words are no persons
     full = full.where(F.col("organisation") | F.arrays_overlap(F.coalesce("given", F.array().cast("array<string>")), F.slice("words", 1, 1)))
     others = with_short(full.select("work_id", F.col("id").alias("owner"), "words", "organisation")).withColumn("id", F.concat(F.lit("other "), F.col("owner"))).withColumn("owner", F.concat(F.lit("other "), F.col("owner")))
     others = written(others, "others")
     second = fits(spell.join(best.select("work_id", "id"), ["work_id", "id"], "left_semi"), others)
 
-    all_fits = first.unionByName(second)
-    level = all_fits.groupBy("work_id", "spelling").agg(F.max("level").alias("top"))
-    top = all_fits.join(level, ["work_id", "spelling"]).where("level = top")
-    star = top.groupBy("work_id", "spelling").agg(
-        F.max(F.struct("score", "owner")).alias("best"),
-        F.sort_array(F.collect_list("score"), asc=False).alias("scores"),
-    )
-    star = star.where((F.size("scores") == 1) | (F.col("scores")[0] - F.col("scores")[1] > tie)).where("not startswith(best.owner, 'other ')").select("work_id", F.col("spelling").alias("id"), F.col("best.owner").alias("entity_ref"))
+    # the best two of a spelling are enough to tell a tie
+    order = Window.partitionBy("work_id", "spelling").orderBy(F.desc("level"), F.desc("score"), F.desc("owner"))
+    top = first.unionByName(second).withColumn("place", F.row_number().over(order)).where("place <= 2")
+    at = lambda n: F.max(F.when(F.col("place") == n, F.struct("level", "score", "owner")))
+    star = top.groupBy("work_id", "spelling").agg(at(1).alias("best"), at(2).alias("next"))
+    star = star.where(F.col("next").isNull() | (F.col("next.level") < F.col("best.level")) | (F.col("best.score") - F.col("next.score") > tie))
+    star = star.where("not startswith(best.owner, 'other ')").select("work_id", F.col("spelling").alias("id"), F.col("best.owner").alias("entity_ref"))
     linked = texts.select("work_id", "mention_text", "id").join(star, ["work_id", "id"])
     return m.select("mention_id", "work_id", "mention_text").distinct().join(linked, ["work_id", "mention_text"]).select("mention_id", "entity_ref").distinct()
