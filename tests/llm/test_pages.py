@@ -87,3 +87,29 @@ def test_line_symbols():
     assert not P.is_number("the crooked quarry.") and not P.is_number("Page 3 was missing.")
     assert P.close_up("T h e   S e a   7") == "The Sea 7" and P.signature("THE SEA . 7") == ("thesea", "U")
     assert P.bare('"Warncd,') == "warncd" and P.bare("unt!l") == "unt!l" and P.bare("gate!") == "gate"
+
+
+def test_plates_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(P, "STRETCH", 2)
+    rows, _ = book(5)
+    go = lambda r: {x.page_id for x in P.findings(spark.createDataFrame(r, S)).where("line_kind = 'continues'").collect()}
+    far = [(p, s, b, i * 8, t, f, x) for p, s, b, i, t, f, x in rows]
+    plates = [(500 + 7 * i + k, "s", "b", i * 8 + 1 + k, "", True, "x") for i in range(len(rows)) for k in range(7)]
+    assert go(far + plates) == go(rows) != set()
+    assert go(far + plates[:3] + plates[4:]) < go(rows)
+
+
+def test_long_words_and_lines(spark):
+    word = "Rindfleischetikettierungsüberwachungsaufgabenübertragungsgesetz".lower()
+    for bad in (word.replace("ü", "o", 1), word[:50] + "rn" + word[51:], word[:-1]):
+        df = spark.createDataFrame([(word, 60), (bad, 1), ("x" * 30_000, 1), (word[:20] + "abc" + word[25:], 1)], "word string, n bigint")
+        assert {(r.word, r.right) for r in P.corrections(df).collect()} == {(bad, word)}
+    assert P.close_up("T h e   S e a   " * 60) .strip() == ("The Sea " * 60).strip() and P.close_up("a b " * 300) == "a b " * 300 and P.signature("lantern " * 40)[0] == "lantern" * 40
+
+
+def test_paths_of_many_pages_are_those_of_one():
+    r = random.Random(1)
+    model = P.LineModel({("header", "t0:r2l"): 9.0, ("break", "i:>"): 20.0, ("body", "i:-"): 90.0, ("footer", "b0:number"): 8.0}, {("", "header"): 9.0, ("header", "break"): 5.0})
+    pages = [[r.choice(["t0:r2l", "i:>", "i:-", "b0:number", "t1:r0l>"]) for _ in range(r.randrange(0, 12))] for _ in range(60)]
+    assert model.label_all(pages) == [model.label(p) for p in pages]
+    assert model.label(["t0:r2l", "i:>", "i:-", "b0:number"]) == ["header", "break", "body", "footer"]
