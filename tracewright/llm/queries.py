@@ -32,6 +32,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("media_id", "utterance_index", "turn_first", "word_count")
 
 
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The utterances with their texts and speakers, rolling captions cut down, turns split at pauses eight times as long as the recording's median."""
+    return transcripts.speaker_turns(spark.read.parquet(f"{sf_dir}/audio_output.parquet"), rolling=3, pause=8.0)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids of every document by byte_bpe_50k, without special tokens."""
     return tokens.encode_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
@@ -60,7 +65,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_chars(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 200)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_instructions": p8_instructions, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_turns": p6_turns, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_instructions": p8_instructions, "p9_found": p9_found}
 
 SQL = {
     "p1_found": r"""
