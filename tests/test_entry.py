@@ -32,7 +32,7 @@ def _norm(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "state_reduce", "edges_active", "seg_sentence", "struct_mentions", "link_predict", "vad_islands", "q_traversal", "search_rank_bm25", "interval_overlap", "audit_prior"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
 

@@ -1,12 +1,19 @@
 """The stream of states against the batch fold."""
 
+import random
+
+import pytest
+
 from tests.test_folds import COLS, random_ledger
 from tracewright.operators import state
 from tracewright.streaming import ledger as stream
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("shuffled", (False, True))
+def test_stream_equals_batch(spark, tmp_path, shuffled):
     rows = sorted(random_ledger(3), key=lambda r: r[0])
+    if shuffled:
+        random.Random(5).shuffle(rows)
     src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     for i in range(0, len(rows), 90):
         spark.createDataFrame(rows[i : i + 90], COLS).coalesce(1).write.mode("append").parquet(src)
@@ -24,3 +31,30 @@ def test_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.n for r in spark.sql("select n from windows_out").collect()] == [2]
+
+
+def test_late_events_and_the_horizon():
+    class State:
+        exists, get = False, None
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+    import pandas as pd
+
+    def feed(*batches, horizon=None):
+        state, out = State(), {}
+        for b in batches:
+            df = pd.DataFrame([dict.fromkeys(stream._FIELDS) | {"has_confidence": False} | e for e in b])
+            for got in stream._folder(horizon)(("e",), iter([df]), state):
+                out |= {r.predicate: None if pd.isna(r.seq) else (r.object_ref, r.authority, int(r.seq)) for r in got.itertuples()}
+        return out
+
+    said = lambda n, o, t="p": {"seq": n, "event_type": "SemanticAsserted", "target": t, "object_ref": o, "authority": "machine"}
+    over = lambda n, o: {"seq": n, "event_type": "OverrideApplied", "target": "p", "object_ref": o}
+    lock = lambda n, on: {"seq": n, "event_type": "Locked" if on else "Unlocked", "target": None}
+    assert feed([said(5, "a")], [over(3, "b")]) == {"p": ("b", "USER_OVERRIDE", 3)}
+    assert feed([said(5, "a")], [lock(2, True)]) == {"p": None}
+    assert feed([said(5, "a")], [lock(2, True)], [lock(4, False)]) == {"p": ("a", "machine", 5)}
+    assert feed([lock(6, False)], [lock(2, True), said(7, "x")], [said(4, "y")]) == {"p": ("x", "machine", 7)}
+    assert feed([said(1, "a"), said(50, "b", "q")], [over(2, "z")], horizon=10) == {"p": ("a", "machine", 1), "q": ("b", "machine", 50)}

@@ -13,13 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space, as a class both regex dialects read alike.
-WS = r"[ \t\n\r\f\x0b]"
+#: White space of all scripts, as a class both regex dialects read alike.
+WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: What opens a chapter, marks dialogue, is a run of capitalised words.
 CHAPTER = r"^[ \t]*[Cc][Hh][Aa][Pp][Tt][Ee][Rr][ \t]+[0-9IVXLCDMivxlcdm]+\b"
 QUOTE = "\"[^\"]*\"|“[^”]*”|'[^']*'|‘[^’]*’"
-DASH = r"^[ \t\n\r\f\x0b]*[—–-][ \t\n\r\f\x0b]"
-CAPS = r"\b[A-Z][a-z]+(?:[ \t\n\r\f\x0b]+[A-Z][a-z]+)*\b"
+DASH = rf"^{WS}*[—–-]{WS}"
+RUN = rf"[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*"
+#: A run between word borders; letters and digits of all scripts are of a word.
+CAPS = rf"(?<![\p{{L}}\p{{N}}_]){RUN}(?![\p{{L}}\p{{N}}_])"
 QUOTE_MARKS = "\"'“”‘’ "
 
 
@@ -46,11 +48,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("[A-Za-z0-9']+"), 0)
 
 
-def ascii_only(c: Column) -> Column:
-    """Every character beyond ASCII as an underscore: word borders are then the same in all dialects."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "_")
-
-
 def is_dialogue(c: Column) -> Column:
     return c.rlike(DASH) | c.rlike(QUOTE)
 
@@ -82,13 +79,15 @@ def trigrams(c: Column) -> Column:
 def soundex(c: Column) -> Column:
     """First letter and up to three codes; equal codes collapse also over vowels, and the first letter's own code stays.
 
-    Fewer than two ASCII letters: eight digits of the SHA-256 of the text.
+    Taken from the transliteration key of the name. Fewer than two ASCII letters
+    in it: eight digits of its SHA-256.
     """
-    w = F.regexp_replace(F.lower(c), "[^a-z]", "")
-    codes = F.translate(F.substring(w, 2, 1_000), "bfpvcgjkqsxzdtlmnraeiouhwy", "111122222222334556")
+    key = transliteration_key(c)
+    w = F.regexp_replace(key, "[^a-z]", "")
+    codes = F.translate(w.substr(F.lit(2), F.length(w)), "bfpvcgjkqsxzdtlmnraeiouhwy", "111122222222334556")
     for d in "123456":
         codes = F.regexp_replace(codes, f"{d}+", d)
-    return F.when(F.length(w) < 2, F.substring(F.sha2(F.lower(c), 256), 1, 8)).otherwise(F.rpad(F.substring(F.concat(F.substring(w, 1, 1), codes), 1, 4), 4, "0"))
+    return F.when(F.length(w) < 2, F.substring(F.sha2(key, 256), 1, 8)).otherwise(F.rpad(F.substring(F.concat(F.substring(w, 1, 1), codes), 1, 4), 4, "0"))
 
 
 def minhash(tokens: Column, n: int = 64, seed: int = 42) -> Column:

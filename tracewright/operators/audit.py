@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.lineage import closure
 from tracewright.operators.state import CHANGES, reduce_state
 
 
@@ -23,15 +24,7 @@ def prior_states(events: DataFrame) -> DataFrame:
     return reduce_state(events.join(last, "entity").where("seq < _last").drop("_last"))
 
 
-def causes(events: DataFrame, start: DataFrame, depth: int = 16) -> DataFrame:
-    """seq, cause, distance: the chain of events that caused those of start (seq)."""
-    link = events.where("causation_id is not null").select("seq", "causation_id").distinct()
-    front = start.select(F.col("seq"), F.col("seq").alias("at"))
-    out = None
-    for n in range(1, depth + 1):
-        front = front.join(link.select(F.col("seq").alias("_s"), "causation_id"), F.col("at") == F.col("_s")).select("seq", F.col("causation_id").alias("at"))
-        got = front.select("seq", F.col("at").alias("cause"), F.lit(n).alias("distance"))
-        out = got if out is None else out.unionByName(got)
-        if front.isEmpty():
-            break
-    return out.groupBy("seq", "cause").agg(F.min("distance").alias("distance"))
+def causes(events: DataFrame, start: DataFrame) -> DataFrame:
+    """seq, cause, distance: all events that caused those of start (seq), directly or through others."""
+    got = closure(events, "seq", "causation_id").withColumnRenamed("causation_id", "cause")
+    return got.join(start.select("seq").distinct(), "seq", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import written
+
 #: The authority that only a user has, and events that need one to decide.
 USER = "USER_OVERRIDE"
 AUTHORITY_TYPES = ("OverrideApplied", "CorrectionApplied", "EntityResolved", "Locked", "Unlocked", "Invalidated", "ReferenceRebound")
@@ -37,7 +39,13 @@ def append(ledger: DataFrame, batch: DataFrame, order: list[str], expected_tail:
     first = Window.partitionBy("idempotency_key").orderBy(*order)
     keyed = keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     rows = keyed.unionByName(batch.where("idempotency_key is null"), allowMissingColumns=True)
-    return rows.withColumn("seq", F.lit(tail) + F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    # sorted ranges, numbered on their own, and how many rows lie in the ranges before
+    ranged = written(rows.drop("seq").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "appended")
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.withColumn("seq", (F.lit(tail) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("bigint")).drop("_at", "_part", "_before")
 
 
 def first_of_key(ledger: DataFrame) -> DataFrame:

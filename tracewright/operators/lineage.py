@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.session import discard, written
+
 #: Stages of a source's decomposition and what each needs.
 STAGES = (
     ("FORMAT_ANALYSIS", "INGEST", "source_bytes"),
@@ -27,17 +27,27 @@ def stage_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STAGES, "stage string, depends_on string, evidence_class string")
 
 
-def descendants(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """root, stage, distance: all that depends on a stage, at its least distance. edges: stage, depends_on, without a cycle."""
-    spark, view = edges.sparkSession, f"stage_edges_{uuid.uuid4().hex}"
-    edges.select("stage", "depends_on").distinct().createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE r(root, stage, distance) AS (
-          SELECT depends_on, stage, 1 FROM {view}
-          UNION ALL
-          SELECT r.root, e.stage, r.distance + 1 FROM r JOIN {view} e ON e.depends_on = r.stage WHERE r.distance < {int(depth)}
-        )
-        SELECT root, stage, min(distance) AS distance FROM r GROUP BY root, stage""")
+def closure(links: DataFrame, start: str, end: str) -> DataFrame:
+    """start, end, distance: all that is reached over links of any number, at the least distance.
+
+    Each round joins the table with itself, so the reach doubles; it ends with
+    the round that reaches nothing new, with cycles too. Every round is a written
+    table. A null on either side is no link.
+    """
+    reach = written(links.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(F.col(start).alias("a"), F.col(end).alias("b"), F.lit(1).alias("n")).distinct(), "reach")
+    size = reach.count()
+    while True:
+        far = reach.select("a", F.col("b").alias("via"), F.col("n").alias("n1")).join(reach.select(F.col("a").alias("via"), "b", F.col("n").alias("n2")), "via")
+        more = written(reach.unionByName(far.select("a", "b", (F.col("n1") + F.col("n2")).alias("n"))).groupBy("a", "b").agg(F.min("n").alias("n")), "reach")
+        discard(reach)
+        reach, before, size = more, size, more.count()
+        if size == before:
+            return reach.select(F.col("a").alias(start), F.col("b").alias(end), F.col("n").alias("distance"))
+
+
+def descendants(edges: DataFrame) -> DataFrame:
+    """root, stage, distance: all that depends on a stage, at its least distance. edges: stage, depends_on."""
+    return closure(edges, "depends_on", "stage").withColumnRenamed("depends_on", "root")
 
 
 def unaffected(edges: DataFrame) -> DataFrame:

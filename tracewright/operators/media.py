@@ -1,7 +1,7 @@
 """Timing operators over frames, spans, cues and cuts.
 
 Sequences are put in islands with windows, overlaps are found with an equi-join
-on time bins, and exact percentiles follow the index rule of a sorted list.
+on time bins of several widths, and exact percentiles follow the index rule of a sorted list.
 """
 
 from __future__ import annotations
@@ -54,17 +54,34 @@ def sound_islands(frames: DataFrame, key: str, idx: str, rms: str, gap: int = 2,
     return x.select(key, "start_frame", "end_frame", kind.alias("kind")).where("kind is not null")
 
 
-def overlap(left: DataFrame, right: DataFrame, key: str, bin_ms: int = 60_000) -> DataFrame:
+def _level(start: Column, end: Column) -> Column:
+    """The least n for which a bin of 4^n ms is as wide as the span."""
+    return F.ceil(F.log2((end - start).cast("double")) / 2).cast("int")
+
+
+def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, id, s, e, covered: how much of each left span the right spans cover, summed over these.
 
-    Both: key, s, e in ms; left also id. Spans meet in an equi-join on (key, time
-    bin); a pair counts in the bin where its overlap starts.
+    Both: key, s, e in ms; left also id. Spans meet in an equi-join on (key,
+    level, time bin). The bins of a level are 4^level ms wide; a span is in the
+    at most two bins that it touches on its own level and on each higher one
+    that occurs, so its length does not matter. A pair meets on the higher of
+    its two levels and counts in the bin where its overlap starts.
     """
-    bins = lambda d: d.where("s < e").withColumn("_b", F.explode(F.sequence(F.floor(F.col("s") / bin_ms), F.floor((F.col("e") - 1) / bin_ms))))
-    a = bins(left.select(key, "id", "s", "e"))
-    b = bins(right.select(key, F.col("s").alias("s2"), F.col("e").alias("e2")).withColumnsRenamed({"s2": "s", "e2": "e"})).withColumnsRenamed({"s": "s2", "e": "e2"})
+    a = left.select(key, "id", "s", "e").where("s < e").withColumn("_l", _level(F.col("s"), F.col("e")))
+    b = right.select(key, F.col("s").alias("s2"), F.col("e").alias("e2")).where("s2 < e2").withColumn("_l2", _level(F.col("s2"), F.col("e2")))
+    # at most 32 numbers
+    there = sorted({r[0] for r in a.select("_l").distinct().collect()} | {r[0] for r in b.select("_l2").distinct().collect()})
+
+    def bins(d: DataFrame, own: str, s: str, e: str) -> DataFrame:
+        level = F.explode(F.filter(F.array(*[F.lit(n) for n in there]).cast("array<int>"), lambda n: n >= F.col(own)))
+        d = d.withColumn("_at", level)
+        wide = F.pow(F.lit(4.0), F.col("_at")).cast("bigint")
+        return d.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col(s) / wide), F.floor((F.col(e) - 1) / wide)))))
+
+    x, y = bins(a, "_l", "s", "e"), bins(b, "_l2", "s2", "e2")
     lo, hi = F.greatest("s", "s2"), F.least("e", "e2")
-    hit = a.join(b, [key, "_b"]).where((lo < hi) & (F.floor(lo / bin_ms) == F.col("_b")))
+    hit = x.join(y, [key, "_at", "_b"]).where((F.col("_at") == F.greatest("_l", "_l2")) & (lo < hi) & (F.floor(lo / F.pow(F.lit(4.0), F.col("_at")).cast("bigint")) == F.col("_b")))
     got = hit.groupBy(key, "id", "s", "e").agg(F.sum(hi - lo).alias("covered"))
     return left.select(key, "id", "s", "e").where("s < e").join(got, [key, "id", "s", "e"], "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("bigint")))
 

@@ -43,13 +43,6 @@ def fuzzy(texts: DataFrame, col: str, query: str, threshold: float = 0.3) -> Dat
     return texts.select(col, s.alias("s")).where(F.col("s") >= threshold).select(col, F.round("s", 6).alias("similarity"))
 
 
-def similar_vectors(vectors: DataFrame, probe: int, k: int) -> DataFrame:
-    """vec_id, score of the k nearest to one vector; equal scores by id."""
-    q = F.broadcast(vectors.where(F.col("vec_id") == probe).select(F.col("embedding").alias("q")).limit(1))
-    scored = vectors.crossJoin(q).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
-
-
 def _matrix(rows: Sequence, dim: int) -> np.ndarray:
     return np.array([np.zeros(dim) if len(r) == 0 else np.asarray(r, dtype=float) for r in rows]).reshape(len(rows), dim)
 
@@ -91,12 +84,12 @@ def nearest_vectors(vectors: DataFrame, probes: DataFrame, k: int | None, metric
 
 
 def hybrid_each(text_hits: DataFrame, vector_hits: DataFrame, probes: DataFrame, id_col: str, k: int, weight: float = 0.5) -> DataFrame:
-    """probe_id, id, score: `hybrid` for each probe. vector_hits: probe_id, id, score, the best k of each probe."""
+    """probe_id, id, score (7 digits): `hybrid` for each probe. vector_hits: probe_id, id, score, the best k of each probe."""
     best = text_hits.orderBy(F.desc("score"), id_col).limit(k).select(id_col, F.col("score").cast("double").alias("e"))
     a = probes.select(F.col("vec_id").alias("probe_id")).crossJoin(F.broadcast(best))  # k rows
     b = vector_hits.select("probe_id", id_col, F.col("score").alias("v"))
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
-    return a.join(b, ["probe_id", id_col], "full_outer").select("probe_id", id_col, F.round((1 - weight) * unit(F.col("e") / (1 + F.col("e"))) + weight * unit(F.col("v")), 6).alias("score"))
+    return a.join(b, ["probe_id", id_col], "full_outer").select("probe_id", id_col, F.round((1 - weight) * unit(F.col("e") / (1 + F.col("e"))) + weight * unit(F.col("v")), 7).alias("score"))
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, id_col: str, k: int, weight: float = 0.5) -> DataFrame:
@@ -120,27 +113,8 @@ def newest_versions(refs: DataFrame) -> DataFrame:
     return p.groupBy("p.source_id", "p.modality", "p.segment").agg(F.max_by("locator", rank).alias("newest"), F.count("*").alias("versions"))
 
 
-def similar_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """work_id, left_name, right_name, similarity: names of one work whose word sets are this alike.
-
-    Prefix filter: two sets of this similarity share one of the rarest words of
-    each, so only these meet; frequent words of a work gather nobody.
-    """
-    n = names.where("work_id is not null").select("work_id", F.lower(X.ascii_only(F.col("mention_text"))).alias("name")).distinct()
-    n = n.withColumn("t", F.array_distinct(F.regexp_extract_all("name", F.lit("[a-z0-9_']+"), 0))).where("size(t) >= 2")
-    word = n.select("work_id", "name", F.size("t").alias("size"), F.explode("t").alias("w"))
-    freq = word.groupBy("work_id", "w").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("work_id", "name").orderBy("f", "w")
-    rare = word.join(freq, ["work_id", "w"]).withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
-    a, b = rare.select("work_id", "w", F.col("name").alias("left_name")), rare.select("work_id", "w", F.col("name").alias("right_name"))
-    pairs = a.join(b, ["work_id", "w"]).where("left_name < right_name").select("work_id", "left_name", "right_name").distinct()
-    sets = n.select("work_id", "name", "t")
-    x = pairs.join(sets.select("work_id", F.col("name").alias("left_name"), F.col("t").alias("ta")), ["work_id", "left_name"]).join(sets.select("work_id", F.col("name").alias("right_name"), F.col("t").alias("tb")), ["work_id", "right_name"])
-    return x.select("work_id", "left_name", "right_name", F.round(X.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
 def alike_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """`similar_names` for names in any script and of any number of words: lower-case spellings by the words of their normal forms.
+    """work_id, left_name, right_name, similarity: names of one work whose word sets are this alike, lower-case spellings by the words of their normal forms.
 
     A name without a word is like none. Names of the same words all meet, as
     they are all in the result; other names need a size that this similarity allows.

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
@@ -27,27 +31,35 @@ def chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, chapter (from 1), title, lines (with text).
 
     A header opens a chapter only if there is text since the last one; else it
-    is text itself. One pass over a document's lines, inside its row.
+    is text itself. One pass over a document's lines.
     """
-    lines = F.split(F.col(text_col), "\n")
-    start = F.struct(F.array(F.struct(F.lit("Chapter 1").alias("title"), F.lit(0).alias("lines"))).alias("c"))
+    opens = re.compile(X.CHAPTER)
+
+    def split(text: str | None) -> list[tuple[str, int]]:
+        out, title, n = [], "Chapter 1", 0
+        for line in (text or "").split("\n"):
+            if not line.strip():
+                continue
+            if n and opens.match(line):
+                out.append((title, n))
+                title, n = line.strip(), 0
+            else:
+                n += 1
+        return out + [(title, n)] if n else out
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc["c"], -1)
-        opens = line.rlike(X.CHAPTER) & (last["lines"] > 0)
-        text = F.when(X.strip(line) != "", 1).otherwise(0)
-        same = F.concat(F.slice(acc["c"], 1, F.size(acc["c"]) - 1), F.array(F.struct(last["title"].alias("title"), (last["lines"] + text).alias("lines"))))
-        return F.struct(F.when(opens, F.concat(acc["c"], F.array(F.struct(X.strip(line).alias("title"), F.lit(0).alias("lines"))))).otherwise(same).alias("c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(row, k, *x) for row, text in enumerate(batch.column(1).to_pylist()) for k, x in enumerate(split(text), 1)]
+            at, no, title, n = zip(*got) if got else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(title, pa.string()), pa.array(n, pa.int32())], names=[id_col, "chapter", "title", "lines"])
 
-    got = F.aggregate(lines, start, step)["c"]
-    out = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.filter(got, lambda x: x["lines"] > 0)).alias("n", "x"))
-    return out.select(id_col, (F.col("n") + 1).alias("chapter"), "x.title", "x.lines")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chapter int, title string, lines int")
 
 
 def mentions(par: DataFrame, keys: list[str]) -> DataFrame:
     """keys, run, times: capitalised runs that a paragraph has more than once."""
     # counted inside the row: the text is not copied for every run
-    x = par.select(*keys, X.ascii_only(F.col("text")).alias("t"))
+    x = par.select(*keys, F.col("text").alias("t"))
     runs = F.array_distinct(F.regexp_extract_all("t", F.lit(X.CAPS), 0))
     counted = F.filter(F.transform(runs, lambda r: F.struct(r.alias("run"), X.occurrences(F.col("t"), r).alias("times"))), lambda c: c["times"] > 1)
     return x.select(*keys, F.explode(counted).alias("x")).select(*keys, "x.run", "x.times")
@@ -55,5 +67,5 @@ def mentions(par: DataFrame, keys: list[str]) -> DataFrame:
 
 def cooccurrences(par: DataFrame, keys: list[str]) -> DataFrame:
     """keys, subject, object: the first two different capitalised runs of a paragraph."""
-    runs = F.array_distinct(F.regexp_extract_all(X.ascii_only(F.col("text")), F.lit(X.CAPS), 0))
+    runs = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(X.CAPS), 0))
     return par.select(*keys, runs.alias("r")).where("size(r) >= 2").select(*keys, F.col("r")[0].alias("subject"), F.col("r")[1].alias("object"))

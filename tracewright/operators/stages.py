@@ -25,8 +25,13 @@ def canonical_refs(runs: DataFrame) -> DataFrame:
 
 
 def path_key(path: Column) -> Column:
-    """A key that sorts structural paths with numbers as numbers."""
-    return F.array_join(F.transform(F.split(path, "/"), lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 10, "0")).otherwise(x)), "/")
+    """A key that sorts structural paths with numbers as numbers, however long: a number has its length before it."""
+
+    def part(x: Column) -> Column:
+        n = F.regexp_replace(x, "^0+(?=[0-9])", "")
+        return F.when(x.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(n).cast("string"), 9, "0"), F.lit("."), n)).otherwise(x)
+
+    return F.array_join(F.transform(F.split(path, "/"), part), "/")
 
 
 def path_number(path: Column, level: str, default: int) -> Column:

@@ -86,8 +86,12 @@ def reduce_state(events: DataFrame) -> DataFrame:
 
 def fold_events(events: list[dict]) -> dict[tuple[str, str], dict]:
     """The same fold event by event: the plain form, for tests and for one entity."""
-    rows: dict[tuple[str, str], dict] = {}
-    locked: set[str] = set()
+    return fold_from({}, set(), events)[0]
+
+
+def fold_from(rows: dict[tuple[str, str], dict], locked: set[str], events: list[dict]) -> tuple[dict[tuple[str, str], dict], set[str]]:
+    """The rows and the locked entities after more events."""
+    rows, locked = dict(rows), set(locked)
     for e in sorted(events, key=lambda x: x["seq"]):
         t, who = e["event_type"], e["entity"]
         if who is None:
@@ -121,7 +125,7 @@ def fold_events(events: list[dict]) -> dict[tuple[str, str], dict]:
             row["authority"] = e["authority"] or row["authority"]
             row["state"] = {"ContradictionRecorded": "CONFLICTING", "Invalidated": "INVALIDATED", "EntityMentioned": "AMBIGUOUS"}[t]
         rows[key] = row
-    return rows
+    return rows, locked
 
 
 def reduce_in_order(events: DataFrame) -> DataFrame:

@@ -19,16 +19,6 @@ def _parts(s, d) -> DataFrame:
     return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("size"), "p_brand")
 
 
-def _labelled(s, d) -> DataFrame:
-    p = _parts(s, d)
-    nxt = p.select((F.col("ref") - 1).alias("left"), F.col("ref").alias("right"), F.col("p_brand").alias("b2"))
-    return p.select(F.col("ref").alias("left"), "p_brand").join(nxt, "left").select("left", "right", (F.col("p_brand") == F.col("b2")).alias("is_match"))
-
-
-def _agreed(s, d) -> DataFrame:
-    return L.agreements(_labelled(s, d), _parts(s, d), FIELDS)
-
-
 def _words(s, d) -> DataFrame:
     return s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("ref")).distinct()
 
@@ -113,11 +103,8 @@ QUERIES = {
     "block_candidates": lambda s, d: L.block_pairs(_words(s, d), L.token_keys(F.col("ref"))),
     "link_score": lambda s, d: _scored(s, d),
     "link_candidates": lambda s, d: L.candidates(_scored(s, d), floor=0.2).select("left", "right", "score", "place"),
-    "link_train": lambda s, d: L.train(_agreed(s, d), FIELDS).select("field", F.round("m", 8).alias("m"), F.round("u", 8).alias("u")),
-    "link_predict": lambda s, d: L.predict(_agreed(s, d), L.train(_agreed(s, d), FIELDS), FIELDS, match=3.0).select("left", "right", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "decision"),
-    # of all pairs that share a block; the two above have the neighbouring keys of their SQL
-    "link_train_whole": lambda s, d: _blocked_model(s, d).select("field", F.round("m", 8).alias("m"), F.round("u", 8).alias("u")),
-    "link_predict_whole": lambda s, d: L.predict_blocked(_blocked(s, d), _parts(s, d), _blocked_model(s, d), FIELDS, "name", match=3.0).select("kind", "left", "right", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "decision"),
+    "link_train": lambda s, d: _blocked_model(s, d).select("field", F.round("m", 8).alias("m"), F.round("u", 8).alias("u")),
+    "link_predict": lambda s, d: L.predict_blocked(_blocked(s, d), _parts(s, d), _blocked_model(s, d), FIELDS, "name", match=3.0).select("kind", "left", "right", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "decision"),
     "same_name_pairs": lambda s, d: _parts(s, d).select("name", "ref", F.lead("ref").over(Window.partitionBy("name").orderBy("ref")).alias("next_ref")).where("next_ref is not null"),
     "split_assign": _split,
     "reconcile_promote": lambda s, d: L.reconcile(_observed(s, d)),
@@ -145,12 +132,12 @@ QUERIES = {
 }
 
 _P = "p AS (SELECT p_partkey AS ref, p_name AS name, p_type AS type, CAST(p_size AS VARCHAR) AS size, p_brand FROM part)"
-_AG = f"{_P}, g AS (SELECT a.ref AS l, b.ref AS r, a.p_brand = b.p_brand AS is_match, " + ", ".join(f"coalesce(a.{f} = b.{f}, false) AS agree_{f}" for f in FIELDS) + " FROM p a JOIN p b ON b.ref = a.ref + 1)"
-_MU = f"{_AG}, mu AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, (count(*) FILTER (WHERE is_match AND agree_{f}) + 0.5) / (count(*) FILTER (WHERE is_match) + 1.5) AS m, (count(*) FILTER (WHERE NOT is_match AND agree_{f}) + 0.5) / (count(*) FILTER (WHERE NOT is_match) + 1.5) AS u FROM g" for f in FIELDS) + ")"
 _SX = "translate(substr(w, 2), 'bfpvcgjkqsxzdtlmnraeiouhwy', '111122222222334556')"
 for _d in "123456":
     _SX = f"regexp_replace({_SX}, '{_d}+', '{_d}', 'g')"
 _BK = f"n AS (SELECT DISTINCT p_name AS ref, lower(p_name) AS lo, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS w FROM part), sx AS (SELECT ref, lo, CASE WHEN length(w) < 2 THEN substr(sha256(lo), 1, 8) ELSE rpad(substr(substr(w, 1, 1) || {_SX}, 1, 4), 4, '0') END AS sx FROM n), k AS (SELECT ref, unnest(list_distinct(list_concat(['t:' || x for x in regexp_extract_all(lo, '[A-Za-z0-9'']+')], ['s:' || sx]))) AS k FROM sx), bp AS (SELECT DISTINCT a.ref AS \"left\", b.ref AS \"right\" FROM k a JOIN k b ON a.k = b.k AND a.ref < b.ref)"
+_PR = _BK + ", pa AS (SELECT p_partkey AS ref, p_name AS name, p_type AS type, CAST(p_size AS VARCHAR) AS size, p_brand FROM part), pr AS (SELECT \"left\" AS l, \"right\" AS r FROM bp UNION ALL SELECT DISTINCT name, name FROM pa), g AS (SELECT x.ref AS l, y.ref AS r, coalesce(x.p_brand = y.p_brand, false) AS is_match, " + ", ".join(f"coalesce(x.{f} = y.{f}, false) AS agree_{f}" for f in FIELDS) + " FROM pr JOIN pa x ON x.name = pr.l JOIN pa y ON y.name = pr.r WHERE pr.l <> pr.r OR x.ref < y.ref)"
+_MU = f"{_PR}, mu AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, (count(*) FILTER (WHERE is_match AND agree_{f}) + 0.5) / (count(*) FILTER (WHERE is_match) + 1.5) AS m, (count(*) FILTER (WHERE NOT is_match AND agree_{f}) + 0.5) / (count(*) FILTER (WHERE NOT is_match) + 1.5) AS u FROM g" for f in FIELDS) + ")"
 _LS = _BK + ", t AS (SELECT ref, sx, regexp_extract_all(lo, '[A-Za-z0-9'']+') AS t FROM sx), ls AS (SELECT \"left\", \"right\", round(0.55 * (len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))) + 0.05 * CASE WHEN a.sx = b.sx THEN 1 ELSE 0 END, 6) AS score FROM bp JOIN t a ON a.ref = \"left\" JOIN t b ON b.ref = \"right\")"
 _UN = "un AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no, event_type || '/' || CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR) AS scene, value AS s, value + 1.0 AS e FROM events), l AS (SELECT *, user_id AS pair, 'u' || CAST(user_id AS VARCHAR) || ':' || CAST(no AS VARCHAR) AS ref FROM un), r AS (SELECT *, user_id - 1 AS pair, 'u' || CAST(user_id AS VARCHAR) || ':' || CAST(no AS VARCHAR) AS ref FROM un)"
 _FR = "fr AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value / 500 AS rms FROM events)"
@@ -167,10 +154,9 @@ _WSP = r"[ \t]"
 
 SQL = {
     "block_candidates": f'WITH {_BK} SELECT * FROM bp',
+    "link_train": f"WITH {_MU} SELECT field, round(m, 8) AS m, round(u, 8) AS u FROM mu",
     "link_score": f"WITH {_LS} SELECT * FROM ls",
     "link_candidates": f'WITH {_LS} SELECT * FROM (SELECT "left", "right", score, CAST(row_number() OVER (PARTITION BY "left" ORDER BY score DESC, "right") AS INT) AS place FROM ls WHERE score >= 0.2) WHERE place <= 20',
-    "link_train": f"WITH {_MU} SELECT field, round(m, 8) AS m, round(u, 8) AS u FROM mu",
-    "link_predict": f"WITH {_MU}, x AS (SELECT l, r, " + " + ".join(f"(SELECT CASE WHEN agree_{f} THEN ln(m / u) ELSE ln((1 - m) / (1 - u)) END FROM mu WHERE field = '{f}')" for f in FIELDS) + ' AS w FROM g) SELECT l AS "left", r AS "right", round(w, 6) AS weight, round(0.1 * exp(w) / (0.1 * exp(w) + 0.9), 6) AS probability, CASE WHEN w >= 3 THEN \'MATCH\' WHEN w >= 0 THEN \'POSSIBLE\' ELSE \'NON_MATCH\' END AS decision FROM x',
     "same_name_pairs": "SELECT p_name AS name, p_partkey AS ref, nx AS next_ref FROM (SELECT *, lead(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS nx FROM part) WHERE nx IS NOT NULL",
     "split_assign": "WITH c AS (SELECT subject_ref AS ref, object_ref AS target, round(confidence, 2) AS confidence FROM semantic_assertion WHERE subject_ref IS NOT NULL AND object_ref IS NOT NULL AND confidence IS NOT NULL), t AS (SELECT *, rank() OVER (PARTITION BY ref ORDER BY confidence DESC) AS k FROM c) SELECT ref, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target FROM t WHERE k = 1 GROUP BY 1",
     "reconcile_promote": "WITH o AS (SELECT id AS ord, upper(trim(predicate_code)) AS predicate_code, trim(subject_ref) AS subject_ref, trim(object_ref) AS object_ref, '' AS relationship_type, confidence, coalesce(upper(trim(state)) = 'CONFLICTING', false) AS conflicted FROM semantic_assertion), b AS (SELECT *, row_number() OVER (PARTITION BY predicate_code, subject_ref, object_ref ORDER BY ord, confidence DESC NULLS LAST) AS k, count(*) OVER (PARTITION BY predicate_code, subject_ref, object_ref) AS seen, max(conflicted) OVER (PARTITION BY subject_ref) AS bad FROM o) SELECT predicate_code, subject_ref, object_ref, relationship_type, ord, CASE WHEN bad AND subject_ref IS NOT NULL THEN 'CONFLICTING' WHEN coalesce(confidence, 0) >= 0.8 THEN 'CONFIRMED' WHEN coalesce(confidence, 0) >= 0.5 THEN 'PROBABLE' ELSE 'UNKNOWN' END AS state, seen FROM b WHERE k = 1",

@@ -49,14 +49,14 @@ QUERIES = {
     "question_unresolved": _ask("Which names are unresolved?", "mention_id", "work_id"),
 }
 
-_PA = r"pa AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS paragraph, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\n\r\f\x0b]*\n'), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g')), lambda x: x <> '') AS l FROM documents))"
+_PA = r"pa AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS paragraph, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]*\n'), lambda x: regexp_replace(x, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS l FROM documents))"
 SQL = {
     "canonical_evidence": "WITH r AS (SELECT user_id % 40 AS job_id, 'stage-' || CAST(event_id % 3 AS VARCHAR) AS stage, date_trunc('day', ts) AS c, [event_type, CAST(event_id % 9 AS VARCHAR)] AS refs FROM events WHERE event_type = 'click'), t AS (SELECT * FROM r QUALIFY rank() OVER (PARTITION BY job_id, stage ORDER BY c DESC) = 1) SELECT job_id, stage, array_to_string(list_sort(list_distinct(flatten(list(refs)))), ',') AS refs, count(*) > 1 AS ambiguous FROM t GROUP BY 1, 2",
     "stage_claim": "WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS k, event_id AS ord FROM events), w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS n FROM e WHERE ord % 10 > 0) SELECT n = 1 AND k NOT IN (SELECT k FROM e WHERE ord % 10 = 0) AS won, count(*) AS n, CAST(sum(ord) AS BIGINT) AS total FROM w GROUP BY 1",
     "search_documents": "WITH d AS (SELECT 'SOURCE_EVIDENCE' AS kind, mention_id AS ref, mention_text AS text FROM source_mention WHERE mention_text IS NOT NULL UNION SELECT 'CANONICAL_ENTITY', entity_ref, unnest(list_filter(list_concat([display_label], coalesce(aliases, [])), lambda x: x IS NOT NULL)) FROM current_state WHERE predicate = 'CANONICAL_IDENTITY' UNION SELECT 'INTERPRETATION', CASE WHEN upper(trim(predicate_code)) IN ('SPEAKS', 'SAYS', 'UTTERANCE', 'PRONUNCIATION') THEN 'assert:' ELSE 'edge:' END || id, coalesce(object_ref, subject_ref) FROM semantic_assertion) SELECT kind, count(*) AS n, count(DISTINCT ref) AS refs, count(DISTINCT text) AS texts FROM d GROUP BY 1",
     "embedding_append": "SELECT DISTINCT segment_id, mention_id AS ref FROM source_mention WHERE segment_id IS NOT NULL AND (segment_id, mention_id) NOT IN (SELECT (segment_id, mention_id) FROM source_mention WHERE mention_text IS NULL AND segment_id IS NOT NULL)",
     "neighbour_context": f"WITH {_PA} SELECT doc_id, CAST(paragraph AS INT) AS paragraph, lag(right(text, 80)) OVER w AS before, lead(left(text, 80)) OVER w AS after FROM pa WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph)",
-    "path_sort": "WITH r AS (SELECT DISTINCT unnest(support_refs) AS ref FROM semantic_assertion) SELECT ref, array_to_string([CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 10, '0') ELSE x END for x in string_split(regexp_replace(ref, '([a-z])([0-9]+)', '\\1/\\2', 'g'), '/')], '/') AS key, coalesce(TRY_CAST(nullif(regexp_extract(regexp_replace(ref, 'p([0-9]+)@', 'p/\\1@', 'g'), 'p/([0-9]+)', 1), '') AS INT), 1) AS paragraph FROM r",
+    "path_sort": "WITH r AS (SELECT DISTINCT unnest(support_refs) AS ref FROM semantic_assertion) SELECT ref, array_to_string([CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(CAST(length(CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END) AS VARCHAR), 9, '0') || '.' || CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END ELSE x END for x in string_split(regexp_replace(ref, '([a-z])([0-9]+)', '\\1/\\2', 'g'), '/')], '/') AS key, coalesce(TRY_CAST(nullif(regexp_extract(regexp_replace(ref, 'p([0-9]+)@', 'p/\\1@', 'g'), 'p/([0-9]+)', 1), '') AS INT), 1) AS paragraph FROM r",
     "command_override": "SELECT DISTINCT 'OverrideApplied' AS event_type, 2 AS event_version, 'USER_OVERRIDE' AS authority, entity_ref AS subject_ref, predicate, object_ref FROM current_state WHERE state = 'USER_CONFIRMED'",
     "question_contradictions": surface.SQL["q_contradictions"].replace("object_ref, state, seq FROM ed", "object_ref, seq FROM ed"),
     "question_entity": surface.SQL["q_entity_name"].replace("'ar'", "'stardley'"),

@@ -51,7 +51,7 @@ def _start(s, d) -> DataFrame:
 
 
 _EDGE = ["subject", "predicate", "object_ref", "scope", "relationship_type", "origin", "seq"]
-_LIN = "e(stage, depends_on) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b, _ in lineage.STAGES) + "), r(root, stage, distance) AS (SELECT depends_on, stage, 1 FROM e UNION SELECT r.root, e.stage, r.distance + 1 FROM r JOIN e ON e.depends_on = r.stage WHERE r.distance < 64), de AS (SELECT root, stage, min(distance) AS distance FROM r GROUP BY 1, 2)"
+_LIN = "e(stage, depends_on) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b, _ in lineage.STAGES) + "), r(root, stage, distance) AS (SELECT depends_on, stage, 1 FROM e UNION SELECT r.root, e.stage, r.distance + 1 FROM r JOIN e ON e.depends_on = r.stage), de AS (SELECT root, stage, min(distance) AS distance FROM r GROUP BY 1, 2)"
 _ED = f"WITH {derive.EDGES_SQL} "
 _AUDIT = derive.STATE_SQL.replace("), e1 AS", "), e1 AS", 1).replace(
     ", lk AS (SELECT *,", ", la AS (SELECT entity, max(seq) AS last FROM ev WHERE entity IS NOT NULL AND event_type NOT IN ('Locked', 'Unlocked') GROUP BY 1), lk AS (SELECT *,", 1
@@ -110,7 +110,7 @@ SQL = {
     "q_spatial_contains": "SELECT DISTINCT seq, json_extract_string(payload.spatial, '$.region') AS region, coalesce(json_extract_string(payload.spatial, '$.region') = 'north', false) AS inside FROM semantic_event WHERE payload.spatial IS NOT NULL",
     "audit_history": f"WITH {derive.LEDGER_SQL} SELECT seq, event_type, authority, target FROM ev WHERE 'e:7' IN (coalesce(subject_ref, ''), coalesce(entity_ref, ''), coalesce(source_id, ''), coalesce(entity_id, ''))",
     "audit_prior": f"WITH {_AUDIT} SELECT * FROM st",
-    "audit_causes": "WITH RECURSIVE l AS (SELECT DISTINCT seq, causation_id FROM semantic_event WHERE causation_id IS NOT NULL), c(seq, cause, distance) AS (SELECT seq, causation_id, 1 FROM l UNION SELECT c.seq, l.causation_id, c.distance + 1 FROM c JOIN l ON l.seq = c.cause WHERE c.distance < 16) SELECT seq, cause, CAST(min(distance) AS INT) AS distance FROM c GROUP BY 1, 2",
+    "audit_causes": "WITH RECURSIVE l AS (SELECT DISTINCT seq, causation_id FROM semantic_event WHERE causation_id IS NOT NULL), c(seq, cause, distance) AS (SELECT seq, causation_id, 1 FROM l UNION SELECT c.seq, l.causation_id, c.distance + 1 FROM c JOIN l ON l.seq = c.cause) SELECT seq, cause, CAST(min(distance) AS INT) AS distance FROM c GROUP BY 1, 2",
     "report_stage": "WITH r AS (SELECT 'stage-' || CAST(event_id % 7 AS VARCHAR) AS stage, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'retry' END AS action, ts FROM events) SELECT stage, count(*) FILTER (WHERE action = 'start') AS start, count(*) FILTER (WHERE action = 'retry') AS retry, count(*) FILTER (WHERE action = 'complete') AS complete, count(*) FILTER (WHERE action = 'fail') AS fail, CASE WHEN max(ts) FILTER (WHERE action = 'complete') >= min(ts) FILTER (WHERE action = 'start') THEN epoch_us(max(ts) FILTER (WHERE action = 'complete')) - epoch_us(min(ts) FILTER (WHERE action = 'start')) END AS micros FROM r GROUP BY 1",
     "job_status": "WITH e AS (SELECT user_id % 50 AS job_id, 'stage-' || CAST(event_id % 3 AS VARCHAR) AS stage, arg_max(event_type, event_id) AS t FROM events GROUP BY 1, 2), s AS (SELECT job_id, CASE WHEN t = 'error' AND job_id % 3 = 0 THEN 'FAILED' WHEN t IN ('click', 'view', 'error') THEN 'COMPLETE' ELSE 'RUNNING' END AS s FROM e) SELECT job_id, CASE WHEN bool_or(s = 'FAILED') THEN 'FAILED' WHEN count(*) FILTER (WHERE s = 'COMPLETE') = count(*) THEN 'COMPLETE' ELSE 'RUNNING' END AS status, count(*) FILTER (WHERE s = 'COMPLETE') AS complete FROM s GROUP BY 1",
     "lineage_descendants": f"WITH RECURSIVE {_LIN} SELECT root, stage, distance FROM de",

@@ -25,12 +25,13 @@ def _mentions(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/source_mention.parquet")
 
 
-_W = r"[ \t\n\r\f\x0b]"
+_W = X.WS
 _P = rf"pa AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS paragraph, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{_W}*\n'), lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g')), lambda x: x <> '') AS l FROM documents))"
 _S = rf"{_P}, se AS (SELECT doc_id, paragraph, unnest(range(1, len(l) + 1)) AS sentence, unnest(l) AS text FROM (SELECT doc_id, paragraph, CASE WHEN len(l0) > 0 THEN l0 ELSE [text] END AS l FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_W}+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g')), lambda x: x <> '') AS l0 FROM pa)))"
 _Q = X.QUOTE.replace("'", "''")
-_CAPS = X.CAPS
-_RUNS = rf"SELECT doc_id, paragraph, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS t, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '{_CAPS}') AS r FROM pa"
+# DuckDB has no look-around: what is no ASCII but of a word becomes '_', what is of none '#', and the borders are those of ASCII
+_PLAIN = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}\p{Z}\x{85}]', '#', 'g'), '[^\x00-\x7F\p{Z}\x{85}]', '_', 'g')"
+_RUNS = rf"SELECT doc_id, paragraph, {_PLAIN} AS t, regexp_extract_all({_PLAIN}, '\b{X.RUN}\b') AS r FROM pa"
 _SOUNDEX = "translate(substr(w, 2), 'bfpvcgjkqsxzdtlmnraeiouhwy', '111122222222334556')"
 for _d in "123456":
     _SOUNDEX = f"regexp_replace({_SOUNDEX}, '{_d}+', '{_d}', 'g')"
@@ -39,20 +40,8 @@ _LOC = locators.PATTERN
 QUERY_WORDS = ("heavy", "bridge")
 
 
-def _signatures(spark, sf, n=16) -> DataFrame:
-    x = _docs(spark, sf).select("doc_id", F.array_distinct(F.transform(X.tokens(F.col("text")), F.lower)).alias("tok")).where("size(tok) > 0")
-    return x.select("doc_id", X.minhash(F.slice(F.array_sort("tok"), 1, 2_000_000), n).alias("sig"))
-
-
-def _pairs(spark, sf) -> DataFrame:
-    """Documents with an equal band to the first of the band's documents: links of groups, not all pairs."""
-    b = _signatures(spark, sf).select("doc_id", F.explode(X.bands(F.col("sig"), 4, 16)).alias("band"))
-    head = b.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return b.join(head, "band").where("doc_id <> head").select("head", "doc_id").distinct()
-
-
 def _whole_signatures(spark, sf) -> DataFrame:
-    """All 64 hashes of the reference; `_signatures` has the 16 of its SQL."""
+    """The 64 hashes of the reference."""
     return _docs(spark, sf).select("doc_id", X.signature("text").alias("sig"))
 
 
@@ -107,29 +96,21 @@ QUERIES = {
     "struct_speaker": lambda s, d: S.paragraphs(_docs(s, d)).select("doc_id", "paragraph", X.candidate_speaker(F.col("text")).alias("speaker")).where("speaker is not null"),
     "struct_mentions": lambda s, d: S.mentions(S.paragraphs(_docs(s, d)), ["doc_id", "paragraph"]),
     "struct_cooccur": lambda s, d: S.cooccurrences(S.paragraphs(_docs(s, d)), ["doc_id", "paragraph"]),
-    "soundex_key": lambda s, d: _names(s, d).select("mention_text").distinct().select("mention_text", X.soundex(X.ascii_only(F.col("mention_text"))).alias("key")),
-    "jaccard_pairs": lambda s, d: search.similar_names(_names(s, d)),
-    # one-word names and all scripts too, which the SQL of jaccard_pairs has not
-    "jaccard_pairs_whole": lambda s, d: search.alike_names(_names(s, d)),
-    "minhash_sig": lambda s, d: _signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
-    "lsh_pairs": _pairs,
-    "minhash_sig_whole": lambda s, d: _whole_signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
-    "lsh_pairs_whole": _whole_pairs,
+    "soundex_key": lambda s, d: _names(s, d).select("mention_text").distinct().select("mention_text", X.soundex(F.col("mention_text")).alias("key")),
+    "jaccard_pairs": lambda s, d: search.alike_names(_names(s, d)),
+    "minhash_sig": lambda s, d: _whole_signatures(s, d).select("doc_id", F.array_join("sig", ",").alias("signature")),
+    "lsh_pairs": _whole_pairs,
     "nfkc_name": lambda s, d: _names(s, d).select("mention_text", X.normalize_name("mention_text").alias("normal"), X.transliteration_key("mention_text").alias("key")),
     "embed_text": lambda s, d: _docs(s, d).select("doc_id", X.embed_text("text").alias("embedding")),
     "locator_parse": lambda s, d: s.read.parquet(f"{d}/semantic_assertion.parquet").select(F.explode("support_refs").alias("locator")).distinct().select("locator", locators.parse(F.col("locator")).alias("p")).select("locator", "p.*"),
     "locator_newest": lambda s, d: search.newest_versions(s.read.parquet(f"{d}/semantic_assertion.parquet").select(F.explode("support_refs").alias("locator")).distinct()),
     "search_exact": lambda s, d: search.exact(search.postings(_docs(s, d), "doc_id", "text"), QUERY_WORDS, "doc_id"),
     "search_fuzzy": lambda s, d: search.fuzzy(_names(s, d).select("mention_text").distinct(), "mention_text", "Rebecca Stardley", 0.3),
-    "search_hybrid": lambda s, d: search.hybrid(search.exact(search.postings(_docs(s, d), "doc_id", "text"), QUERY_WORDS, "doc_id"), search.similar_vectors(s.read.parquet(f"{d}/embeddings.parquet"), 0, 1_000_000).withColumnRenamed("vec_id", "doc_id"), "doc_id", 40),
     "search_scoped": lambda s, d: search.exact(search.postings(_docs(s, d).where("lang = 'en'"), "doc_id", "text"), QUERY_WORDS, "doc_id").join(_docs(s, d).select("doc_id", "source"), "doc_id"),
     "search_rank_bm25": lambda s, d: search.bm25(search.postings(_docs(s, d), "doc_id", "text"), QUERY_WORDS, "doc_id").select("doc_id", F.round("score", 6).alias("score")),
-    "vector_topk": lambda s, d: search.similar_vectors(s.read.parquet(f"{d}/embeddings.parquet"), 0, 20),
-    "vector_l2": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").crossJoin(F.broadcast(s.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").select(F.col("embedding").alias("q")))).select("vec_id", F.round(V.l2(F.col("embedding"), F.col("q")), 5).alias("distance")),
-    # every fiftieth row as a query; the SQL of search_hybrid, vector_topk and vector_l2 has one
-    "vector_topk_whole": lambda s, d: search.nearest_vectors(_vectors(s, d), _probes(s, d), 20),
-    "vector_l2_whole": lambda s, d: search.nearest_vectors(_vectors(s, d), _probes(s, d), None, "l2").withColumnRenamed("score", "distance"),
-    "search_hybrid_whole": _whole_hybrid,
+    "vector_topk": lambda s, d: search.nearest_vectors(_vectors(s, d), _probes(s, d), 20),
+    "vector_l2": lambda s, d: search.nearest_vectors(_vectors(s, d), _probes(s, d), None, "l2").withColumnRenamed("score", "distance"),
+    "search_hybrid": _whole_hybrid,
     "vector_model_counts": lambda s, d: search.vector_review(s.read.parquet(f"{d}/embeddings.parquet"), "label"),
     "mention_ids": lambda s, d: _mentions(s, d).select("source_id", "segment_id", "mention_text").distinct().select("source_id", "segment_id", "mention_text", ids.mention_id(F.col("source_id"), F.lit("l"), F.coalesce("segment_id", F.lit("")), F.coalesce("mention_text", F.lit(""))).alias("id"), ids.canonical_ref(F.array(F.coalesce("mention_text", F.lit("")), F.lit("x"))).alias("canonical"), ids.fallback_ref(F.lit("character"), F.col("source_id"), F.coalesce("mention_text", F.lit(""))).alias("fallback")),
     "segment_ids": lambda s, d: _docs(s, d).select("doc_id", ids.segment_id(F.col("source"), F.lit("text"), F.concat(F.lit("Chapter/ 1/p"), F.col("doc_id").cast("string"))).alias("segment_id"), ids.uuid5(F.concat(F.lit("1:"), F.col("doc_id").cast("string"))).alias("fact_id")),
@@ -155,25 +136,20 @@ SQL = {
  SELECT doc_id, CAST(paragraph AS INT) AS paragraph, w[len(w)] AS speaker FROM w WHERE len(w) > 0""",
     "struct_mentions": f"WITH {_P}, r AS ({_RUNS}), u AS (SELECT doc_id, paragraph, t, unnest(list_distinct(r)) AS run FROM r) SELECT * FROM (SELECT doc_id, CAST(paragraph AS INT) AS paragraph, run, CAST((length(t) - length(replace(t, run, ''))) / length(run) AS INT) AS times FROM u) WHERE times > 1",
     "struct_cooccur": f"WITH {_P}, r AS ({_RUNS}) SELECT doc_id, CAST(paragraph AS INT) AS paragraph, r[1] AS subject, list_filter(r, lambda x: x <> r[1])[1] AS object FROM r WHERE len(list_distinct(r)) >= 2",
-    "soundex_key": rf"WITH n AS (SELECT DISTINCT mention_text, regexp_replace(mention_text, '[^\x00-\x7F]', '_', 'g') AS a FROM source_mention WHERE mention_text IS NOT NULL), w AS (SELECT *, regexp_replace(lower(a), '[^a-z]', '', 'g') AS w FROM n) SELECT mention_text, CASE WHEN length(w) < 2 THEN substr(sha256(lower(a)), 1, 8) ELSE rpad(substr(substr(w, 1, 1) || {_SOUNDEX}, 1, 4), 4, '0') END AS key FROM w",
-    "jaccard_pairs": r"""WITH n AS (SELECT DISTINCT work_id, lower(regexp_replace(mention_text, '[^\x00-\x7F]', '_', 'g')) AS name FROM source_mention WHERE mention_text IS NOT NULL AND work_id IS NOT NULL),
- t AS (SELECT *, list_distinct(regexp_extract_all(name, '[a-z0-9_'']+')) AS t FROM n), x AS (SELECT *, unnest(t) AS k FROM t WHERE len(t) >= 2),
- p AS (SELECT DISTINCT a.work_id, a.name AS left_name, b.name AS right_name, a.t AS ta, b.t AS tb FROM x a JOIN x b ON a.work_id = b.work_id AND a.k = b.k AND a.name < b.name)
- SELECT * FROM (SELECT work_id, left_name, right_name, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS similarity FROM p) WHERE similarity >= 0.8""",
-    "minhash_sig": "WITH t AS (SELECT doc_id, list_distinct([lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9'']+')]) AS tok FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string([list_min([substr(sha256('42' || chr(31) || CAST(b AS VARCHAR) || chr(31) || x), 1, 16) for x in tok]) for b in range(0, 16)], ',') AS signature FROM t WHERE len(tok) > 0",
-    "lsh_pairs": "WITH t AS (SELECT doc_id, list_distinct([lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9'']+')]) AS tok FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, [list_min([substr(sha256('42' || chr(31) || CAST(b AS VARCHAR) || chr(31) || x), 1, 16) for x in tok]) for b in range(0, 16)] AS s FROM t WHERE len(tok) > 0), b AS (SELECT doc_id, unnest([CAST(i AS VARCHAR) || ':' || array_to_string(s[4 * i + 1 : 4 * i + 4], '|') for i in range(0, 4)]) AS band FROM g), h AS (SELECT band, min(doc_id) AS head FROM b GROUP BY 1 HAVING count(*) > 1) SELECT DISTINCT head, doc_id FROM b JOIN h USING (band) WHERE doc_id <> head",
+    "soundex_key": rf"WITH n AS (SELECT DISTINCT mention_text, strip_accents(lower(trim(regexp_replace(mention_text, '{_W}+', ' ', 'g')))) AS a FROM source_mention WHERE mention_text IS NOT NULL), w AS (SELECT *, regexp_replace(a, '[^a-z]', '', 'g') AS w FROM n) SELECT mention_text, CASE WHEN length(w) < 2 THEN substr(sha256(a), 1, 8) ELSE rpad(substr(substr(w, 1, 1) || {_SOUNDEX}, 1, 4), 4, '0') END AS key FROM w",
     "locator_parse": f"WITH l AS (SELECT DISTINCT unnest(support_refs) AS locator FROM semantic_assertion) SELECT locator, " + ", ".join(f"{'TRY_CAST(' if 4 <= i <= 6 else ''}nullif(regexp_extract(locator, '{_LOC}', {i}), ''){' AS INT)' if 4 <= i <= 6 else ''} AS {n}" for i, n in enumerate(("source_id", "modality", "segment", "segmenter", "decoder", "renderer", "frag"), 1)) + f", coalesce(regexp_matches(locator, '{_LOC}'), false) AS valid FROM l",
     "locator_newest": f"WITH l AS (SELECT DISTINCT unnest(support_refs) AS locator FROM semantic_assertion), p AS (SELECT locator, regexp_extract(locator, '{_LOC}', 1) AS source_id, regexp_extract(locator, '{_LOC}', 2) AS modality, regexp_extract(locator, '{_LOC}', 3) AS segment, coalesce(TRY_CAST(regexp_extract(locator, '{_LOC}', 4) AS INT), -1) AS a, coalesce(TRY_CAST(regexp_extract(locator, '{_LOC}', 5) AS INT), -1) AS b, coalesce(TRY_CAST(regexp_extract(locator, '{_LOC}', 6) AS INT), -1) AS c FROM l WHERE regexp_matches(locator, '{_LOC}')) SELECT source_id, modality, segment, locator AS newest, versions FROM (SELECT *, row_number() OVER (PARTITION BY source_id, modality, segment ORDER BY a DESC, b DESC, c DESC, locator DESC) AS r, count(*) OVER (PARTITION BY source_id, modality, segment) AS versions FROM p) WHERE r = 1",
     "search_exact": "WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9'']+'))) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM t WHERE t IN ('heavy', 'bridge') GROUP BY 1, 2) SELECT doc_id, CAST(sum(n) AS BIGINT) AS score FROM c GROUP BY 1 HAVING count(*) = 2",
     "search_scoped": "WITH t AS (SELECT doc_id, source, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9'']+'))) AS t FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, source, t, count(*) AS n FROM t WHERE t IN ('heavy', 'bridge') GROUP BY 1, 2, 3) SELECT doc_id, source, CAST(sum(n) AS BIGINT) AS score FROM c GROUP BY 1, 2 HAVING count(*) = 2",
     "search_fuzzy": f"WITH n AS (SELECT DISTINCT mention_text FROM source_mention WHERE mention_text IS NOT NULL), t AS (SELECT mention_text, {_TRI.format('mention_text')} AS t, {_TRI.format(chr(39) + 'Rebecca Stardley' + chr(39))} AS q FROM n) SELECT mention_text, round(len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))), 6) AS similarity FROM t WHERE len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) >= 0.3",
-    "search_hybrid": """WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9'']+'))) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM t WHERE t IN ('heavy', 'bridge') GROUP BY 1, 2), e AS (SELECT doc_id, sum(n) AS score FROM c GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 40),
- v AS (SELECT doc_id, score FROM (SELECT a.vec_id AS doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY score DESC, doc_id LIMIT 40)
- SELECT coalesce(e.doc_id, v.doc_id) AS doc_id, round(0.5 * least(1.0, greatest(0.0, coalesce(CAST(e.score AS DOUBLE) / (1 + e.score), 0))) + 0.5 * least(1.0, greatest(0.0, coalesce(v.score, 0))), 6) AS score FROM e FULL JOIN v ON e.doc_id = v.doc_id""",
+    "search_hybrid": """WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9'']+'))) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM t WHERE t IN ('heavy', 'bridge') GROUP BY 1, 2), e0 AS (SELECT doc_id, sum(n) AS score FROM c GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 40),
+ p AS (SELECT vec_id AS probe_id FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT * FROM p, e0),
+ v AS (SELECT q.vec_id AS probe_id, a.vec_id AS doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, a.vec_id) <= 40)
+ SELECT coalesce(e.probe_id, v.probe_id) AS probe_id, coalesce(e.doc_id, v.doc_id) AS doc_id, round(0.5 * least(1.0, greatest(0.0, coalesce(CAST(e.score AS DOUBLE) / (1 + e.score), 0))) + 0.5 * least(1.0, greatest(0.0, coalesce(v.score, 0))), 7) AS score FROM e FULL JOIN v ON e.doc_id = v.doc_id AND e.probe_id = v.probe_id""",
+    "vector_topk": "SELECT q.vec_id AS probe_id, a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, a.vec_id) <= 20",
+    "vector_l2": "SELECT q.vec_id AS probe_id, a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS distance FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0",
     "search_rank_bm25": """WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9'']+'))) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM t GROUP BY 1, 2), d AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS len FROM c GROUP BY 1), a AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM d), f AS (SELECT t, count(*) AS df FROM c WHERE t IN ('heavy', 'bridge') GROUP BY 1)
  SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM c JOIN f USING (t) JOIN d USING (doc_id), a GROUP BY 1""",
-    "vector_topk": "SELECT vec_id, score FROM (SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY score DESC, vec_id LIMIT 20",
-    "vector_l2": "SELECT a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS distance FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q",
     "vector_model_counts": "SELECT label AS model, count(*) AS vectors, CASE WHEN count(*) >= 50000000 THEN 3 WHEN count(*) >= 10000000 THEN 2 WHEN count(*) >= 5000000 THEN 1 ELSE 0 END AS tier FROM embeddings GROUP BY 1",
     "mention_ids": "SELECT DISTINCT source_id, segment_id, mention_text, substr(sha256(source_id || chr(31) || 'l' || chr(31) || coalesce(segment_id, '') || chr(31) || coalesce(mention_text, '')), 1, 32) AS id, 'entity:canonical:' || substr(sha256(array_to_string(list_sort(list_distinct([coalesce(mention_text, ''), 'x'])), chr(31))), 1, 16) AS canonical, 'character:' || source_id || ':' || substr(sha256(coalesce(mention_text, '')), 1, 12) AS fallback FROM source_mention",
 }

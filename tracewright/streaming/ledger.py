@@ -1,9 +1,11 @@
 """The ledger as a stream.
 
-`state_stream` keeps the rows and the lock of every entity in the engine's state
-store and gives the rows an input batch changed; events at or below the last
-seen number of their row lose, as in the batch fold. `into_generations` appends
-each batch once, under the number the engine gives it.
+`state_stream` keeps, for every entity, its rows and lock up to a horizon and the
+events after it in the engine's state store, and gives the rows that an input
+batch changes. An event that comes late is put in its place by its number and
+the rows are folded again from there, so the stream ends with what the batch fold
+gives, whatever the order of arrival. `into_generations` appends each batch once,
+under the number the engine gives it.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewright.operators.ledger import USER
-from tracewright.operators.state import CHANGES, LOCKS
+from tracewright.operators.state import CHANGES, LOCKS, fold_from
 
 OUT = "entity string, predicate string, object_ref string, confidence double, authority string, state string, seq bigint"
 
@@ -27,47 +28,46 @@ def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _step(row: dict, e: dict) -> dict | None:
-    t, ovr = e["event_type"], e["event_type"] in ("OverrideApplied", "CorrectionApplied")
-    if e["seq"] <= row["seq"] or (not ovr and e["authority"] != USER and row["authority"] == USER):
-        return None
-    new = dict(row, seq=e["seq"])
-    if ovr:
-        new |= {"object_ref": e["object_ref"], "authority": USER, "state": "USER_CONFIRMED"}
-        if t == "OverrideApplied" and e["has_confidence"]:
-            new["confidence"] = e["confidence"]
-    elif t in ("SemanticAsserted", "EntityResolved"):
-        said = t == "SemanticAsserted"
-        new["object_ref"] = (e["object_ref"] or e["object_entity_id"]) if said else (e["target_entity_id"] or e["entity_id"])
-        new["confidence"] = row["confidence"] if e["confidence"] is None else e["confidence"]
-        new["authority"] = (e["authority"] or e["p_authority"] or row["authority"]) if said else e["authority"]
-        new["state"] = e["p_state"] or (row["state"] if said else "CONFIRMED" if e["kind"] in ("ALIAS", "ESTABLISH") else "PROBABLE")
-    else:
-        new["authority"] = e["authority"] or row["authority"]
-        new["state"] = {"ContradictionRecorded": "CONFLICTING", "Invalidated": "INVALIDATED", "EntityMentioned": "AMBIGUOUS"}[t]
-    return new
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows, locked = ({}, False) if not state.exists else (json.loads(state.get[0]), state.get[1])
-    pdf = pd.concat(list(batches)).sort_values("seq")
-    changed = set()
-    for e in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-        if e["event_type"] in LOCKS:
-            locked = e["event_type"] == "Locked"
-        elif not locked and e["target"] is not None and e["event_type"] in CHANGES:
-            old = rows.get(e["target"]) or {"object_ref": None, "confidence": None, "authority": None, "state": "UNKNOWN", "seq": -1}
-            new = _step(old, e)
-            if new:
-                rows[e["target"]] = new
-                changed.add(e["target"])
-    state.update((json.dumps(rows), locked))
-    yield pd.DataFrame([{"entity": key[0], "predicate": p, **rows[p]} for p in sorted(changed)], columns=["entity", "predicate", "object_ref", "confidence", "authority", "state", "seq"])
-
-
-def state_stream(events: DataFrame) -> DataFrame:
-    """The rows that change, as they change. events: as for the batch fold, routed."""
-    return events.where("entity is not null").groupBy("entity").applyInPandasWithState(_fold, OUT, "rows string, locked boolean", "update", GroupStateTimeout.NoTimeout)
+_FIELDS = ("seq", "event_type", "target", "authority", "p_authority", "object_ref", "object_entity_id", "target_entity_id", "entity_id", "confidence", "has_confidence", "p_state", "kind")
+_ROW = ("object_ref", "confidence", "authority", "state", "seq")
+
+
+def _folder(horizon: int | None):
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        who = key[0]
+        rows, locked, folded, events, told = json.loads(state.get[0]) if state.exists else ([], False, -1, [], {})
+        pdf = pd.concat(list(batches))
+        known = {e["seq"]: e for e in events}
+        for e in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+            relevant = e["event_type"] in LOCKS or (e["event_type"] in CHANGES and e["target"] is not None)
+            if relevant and e["seq"] > folded:
+                known.setdefault(e["seq"], {f: e[f] for f in _FIELDS})
+        events = [dict(known[s], entity=who) for s in sorted(known)]
+        base = {(who, p): r for p, r in rows}
+        if horizon is not None and events:
+            old = [e for e in events if e["seq"] <= events[-1]["seq"] - horizon]
+            if old:
+                base, locks = fold_from(base, {who} if locked else set(), old)
+                locked, folded, events = bool(locks), events[-1]["seq"] - horizon, events[len(old) :]
+        now, _ = fold_from(base, {who} if locked else set(), events)
+        new = {p: [r[c] for c in _ROW] for (_, p), r in now.items()}
+        changed = sorted(p for p in new | told if new.get(p) != told.get(p))
+        state.update((json.dumps([[[p, r] for (_, p), r in base.items()], locked, folded, [{f: e[f] for f in _FIELDS} for e in events], new]),))
+        # a row that a late event takes away comes with nothing in it
+        yield pd.DataFrame([(who, p, *new.get(p, [None] * len(_ROW))) for p in changed], columns=["entity", "predicate", *_ROW]).astype({"seq": "Int64"})
+
+    return fold
+
+
+def state_stream(events: DataFrame, horizon: int | None = None) -> DataFrame:
+    """The rows that change, as they change; a row that is no more has a null seq. events: as for the batch fold, routed.
+
+    horizon: events so many numbers behind the newest of their entity are folded
+    for good, and what comes later than that is too late; this bounds what is
+    kept of a busy entity. None keeps all. Of several events with one number the
+    first that comes counts.
+    """
+    return events.where("entity is not null").groupBy("entity").applyInPandasWithState(_folder(horizon), OUT, "kept string", "update", GroupStateTimeout.NoTimeout)
 
 
 def into_generations(path: str):
@@ -82,8 +82,8 @@ def into_generations(path: str):
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest row of every (entity, predicate) from the folders `into_generations` wrote."""
     df = spark.read.schema(OUT + ", batch bigint").parquet(path)
-    pick = F.max_by(F.struct("object_ref", "confidence", "authority", "state", "seq"), F.struct("batch", "seq"))
-    return df.groupBy("entity", "predicate").agg(pick.alias("x")).select("entity", "predicate", "x.*")
+    pick = F.max_by(F.struct("object_ref", "confidence", "authority", "state", "seq"), F.col("batch"))
+    return df.groupBy("entity", "predicate").agg(pick.alias("x")).select("entity", "predicate", "x.*").where("seq is not null")
 
 
 def windowed(events: DataFrame, time_col: str = "ts", every: str = "1 hour", late: str = "1 day") -> DataFrame:
