@@ -304,10 +304,13 @@ def fits(spellings: DataFrame, names: DataFrame) -> DataFrame:
     n = written(_cut(names, "name"), "units")
     # pairs of words before pairs of names: a word is compared once, however many names have it
     u, v = F.col("u"), F.col("v")
-    near = _banded(s.select("work_id", "unit").distinct()).withColumnRenamed("unit", "u").join(_banded(n.select("work_id", "unit").distinct()).withColumnRenamed("unit", "v"), ["work_id", "band"])
+    su, nu = s.select("work_id", F.col("unit").alias("u")).distinct(), n.select("work_id", F.col("unit").alias("v")).distinct()
+    near = _banded(su).withColumnRenamed("unit", "u").join(_banded(nu).withColumnRenamed("unit", "v"), ["work_id", "band"])
     # a swap of neighbours is two of Levenshtein's edits, so this keeps all that `edits` accepts
     most = F.when(F.greatest(F.length(u), F.length(v)) < 8, 2).otherwise(4)
-    near = near.where((F.abs(F.length(u) - F.length(v)) <= 2) & F.levenshtein(u, v, 4).between(0, most)).select("work_id", "u", "v").distinct()
+    near = near.where((u != v) & (F.abs(F.length(u) - F.length(v)) <= 2) & F.levenshtein(u, v, 4).between(0, most)).select("work_id", "u", "v").distinct()
+    # equal words share all bands: one row in place of as many
+    near = near.unionByName(su.join(nu.withColumn("u", F.col("v")), ["work_id", "u"], "inner").select("work_id", "u", "v"))
     met = s.select("work_id", F.col("id").alias("spelling"), F.col("unit").alias("u")).join(near, ["work_id", "u"]).select("work_id", "spelling", "v")
     met = met.join(n.select("work_id", F.col("id").alias("name"), F.col("unit").alias("v")), ["work_id", "v"]).select("work_id", "spelling", "name").distinct()
     pairs = met.join(spellings.select("work_id", F.col("id").alias("spelling"), "words", "given"), ["work_id", "spelling"]).join(
