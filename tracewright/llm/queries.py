@@ -28,7 +28,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """media_id, utterance_index, turn_first, word_count of every utterance with spoken words."""
-    t = transcripts.speaker_turns(spark.read.parquet(f"{sf_dir}/audio_output.parquet"))
+    t = transcripts.speaker_turns(spark.read.parquet(f"{sf_dir}/audio_output.parquet"), texts=False)
     return t.select("media_id", "utterance_index", "turn_first", "word_count")
 
 
