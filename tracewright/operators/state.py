@@ -46,13 +46,10 @@ def with_locks(events: DataFrame) -> DataFrame:
     return last_before(events, ["entity"], "seq", flag, "locked").withColumn("locked", F.coalesce("locked", F.lit(False)))
 
 
-def reduce_state(events: DataFrame) -> DataFrame:
-    """entity, predicate, object_ref, confidence, authority, state, seq.
+def accepted(events: DataFrame) -> DataFrame:
+    """The events that count: their entity is not locked, and no user has decided before, unless it is a user's own.
 
-    events: routed events with entity, target, event_type, seq, authority,
-    p_authority, object_ref, object_entity_id, target_entity_id, entity_id,
-    confidence, has_confidence, p_state, kind. Events without an entity or a
-    target, and all but the row-changing types, leave no row.
+    Adds _pass, _sets (whether it sets a user's authority) and _auth.
     """
     t = F.col("event_type")
     ev = with_locks(events.where(F.col("entity").isNotNull() & (t.isin(*LOCKS) | (t.isin(*CHANGES) & F.col("target").isNotNull()))))
@@ -63,23 +60,44 @@ def reduce_state(events: DataFrame) -> DataFrame:
     either = F.when(t == "SemanticAsserted", F.coalesce(env, F.col("p_authority"))).otherwise(env)
     ev = ev.withColumn("_pass", may_pass).withColumn("_sets", ovr | (F.coalesce(either, F.lit("")) == USER)).withColumn("_auth", F.when(ovr, USER).otherwise(either))
     first = ev.where("_sets").groupBy("entity", "target").agg(F.min("seq").alias("_user"))
-    ev = ev.join(first, ["entity", "target"], "left").where("_pass or _user is null or seq <= _user")
-    valued = ovr | t.isin("SemanticAsserted", "EntityResolved")
+    return ev.join(first, ["entity", "target"], "left").where("_pass or _user is null or seq <= _user")
+
+
+def contributions(ev: DataFrame) -> DataFrame:
+    """Adds what an event gives its row: obj if valued, confidence if sure, _auth if gives, _said (the state)."""
+    t = F.col("event_type")
+    ovr = t.isin("OverrideApplied", "CorrectionApplied")
     obj = F.when(t == "SemanticAsserted", F.coalesce("object_ref", "object_entity_id")).when(t == "EntityResolved", F.coalesce("target_entity_id", "entity_id")).otherwise(F.col("object_ref"))
-    conf = (t == "OverrideApplied") & F.col("has_confidence") | t.isin("SemanticAsserted", "EntityResolved") & F.col("confidence").isNotNull()
     state = (
         F.when(ovr, F.lit("USER_CONFIRMED")).when(t == "ContradictionRecorded", F.lit("CONFLICTING")).when(t == "Invalidated", F.lit("INVALIDATED"))
         .when(t == "EntityMentioned", F.lit("AMBIGUOUS"))
         .when(t == "EntityResolved", F.coalesce("p_state", F.when(F.col("kind").isin("ALIAS", "ESTABLISH"), "CONFIRMED").otherwise("PROBABLE")))
         .when(t == "SemanticAsserted", F.col("p_state"))
     )
-    gives = F.col("_auth").isNotNull() | (t == "EntityResolved")  # a resolution without authority resets it
+    return ev.withColumns(
+        {
+            "valued": ovr | t.isin("SemanticAsserted", "EntityResolved"), "obj": obj, "_said": state,
+            "sure": (t == "OverrideApplied") & F.col("has_confidence") | t.isin("SemanticAsserted", "EntityResolved") & F.col("confidence").isNotNull(),
+            "gives": F.col("_auth").isNotNull() | (t == "EntityResolved"),  # a resolution without authority resets it
+        }
+    )
+
+
+def reduce_state(events: DataFrame) -> DataFrame:
+    """entity, predicate, object_ref, confidence, authority, state, seq.
+
+    events: routed events with entity, target, event_type, seq, authority,
+    p_authority, object_ref, object_entity_id, target_entity_id, entity_id,
+    confidence, has_confidence, p_state, kind. Events without an entity or a
+    target, and all but the row-changing types, leave no row.
+    """
+    ev = contributions(accepted(events))
     last = lambda value, when: F.max_by(F.struct(value.alias("v")), F.when(when, F.col("seq")))["v"]
     return ev.groupBy("entity", F.col("target").alias("predicate")).agg(
-        last(obj, valued).alias("object_ref"),
-        last(F.col("confidence"), conf).alias("confidence"),
-        last(F.col("_auth"), gives).alias("authority"),
-        F.coalesce(last(state, state.isNotNull()), F.lit("UNKNOWN")).alias("state"),
+        last(F.col("obj"), F.col("valued")).alias("object_ref"),
+        last(F.col("confidence"), F.col("sure")).alias("confidence"),
+        last(F.col("_auth"), F.col("gives")).alias("authority"),
+        F.coalesce(last(F.col("_said"), F.col("_said").isNotNull()), F.lit("UNKNOWN")).alias("state"),
         F.max("seq").alias("seq"),
     )
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import folds, general, matching, stages, surface, texts
+from tracewright.plans import folds, general, matching, records, stages, surface, texts
 
-_MODULES = (general, folds, texts, matching, surface, stages)
+_MODULES = (general, folds, texts, matching, surface, stages, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
