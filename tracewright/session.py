@@ -74,6 +74,19 @@ def discard(df: DataFrame | None) -> None:
     _left[:] = [x for x in _left if x[1] != path]
 
 
+def release() -> int:
+    """Deletes all tables that `written` made and nobody discarded, and returns their number.
+
+    For sessions that run many queries: to be called when the results of the
+    queries so far have been read or saved.
+    """
+    gone = list(_left)
+    for spark, path in gone:
+        _delete(spark, path)
+    _left[:] = [x for x in _left if x not in gone]
+    return len(gone)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
