@@ -144,3 +144,25 @@ def test_append_numbers_in_order_over_partitions(spark):
     got = ledger.append(old, new, ["was"]).orderBy("seq").collect()
     kept = [i for i in range(200) if i % 2 == 0 or (i < 50 and i != 1)]
     assert [r.was for r in got] == kept and [r.seq for r in got] == list(range(8, 8 + len(kept)))
+
+
+def test_questions_of_relations_and_filters(spark):
+    from tracewright.operators.search import filtered
+    from tracewright.plans.structured import compile_question, page_with_total
+
+    q = compile_question("What is the relationship between Ann Lee and Bo Moss?")
+    assert (q.kind, q.ref, q.object_ref) == ("RELATIONSHIP_EDGES", "Ann Lee", "Bo Moss")
+    q = compile_question("what emotion does Ann feel?")
+    assert (q.kind, q.ref, q.predicate) == ("RELATIONSHIP_EDGES", "Ann", "HAS_EMOTION")
+    assert compile_question("How long is the river?") is None
+    u = "0123456789abcdef0123456789abcdef"
+    d = spark.createDataFrame([(1, "01234567-89ab-cdef-0123-456789abcdef", "source://s/x"), (2, "w", "source://t/x"), (3, None, None)], "n int, work_id string, locator string")
+    assert [r.n for r in filtered(d, work_id=u).collect()] == [1] and [r.n for r in filtered(d, locator_prefix="source://t").collect()] == [2] and filtered(d).count() == 3
+    assert [(r.n, r.total) for r in page_with_total(d, ["n"], 1, 1).collect()] == [(2, 3)]
+
+
+def test_subtitle_shapes(spark):
+    from tracewright.sources.subtitles import detect_format
+
+    t = spark.createDataFrame([("[12][34]Hello",), ("[0:01.5][x] Hello",), ("{1}{2}Hi",)], "t string")
+    assert [r[0] for r in t.select(detect_format(F.col("t"))).collect()] == ["mpl2", None, "microdvd"]

@@ -9,11 +9,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions import locators
+from tracewright.functions import ids, locators
 from tracewright.functions import text as X
 from tracewright.functions import vectors as V
 
 
+def filtered(
+    docs: DataFrame, source_id: str | None = None, work_id: str | None = None, continuity_id: str | None = None, segment_id: str | None = None,
+    entity_ref: str | None = None, kind: str | None = None, language: str | None = None, locator_prefix: str | None = None,
+) -> DataFrame:
+    """The search documents that all given filters let through, before any is ranked. Ids count with and without dashes."""
+    for name, v in (("source_id", source_id), ("work_id", work_id), ("continuity_id", continuity_id)):
+        if v:
+            docs = docs.where(F.col(name) == ids.dashed_uuid(F.lit(v)))
+    for name, v in (("segment_id", segment_id), ("entity_ref", entity_ref), ("kind", kind), ("language", language)):
+        if v:
+            docs = docs.where(F.col(name) == v)
+    return docs.where(F.startswith("locator", F.lit(locator_prefix))) if locator_prefix else docs
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, n: how often each lower-case word stands in each document."""
     return docs.select(id_col, F.explode(F.transform(X.tokens(F.col(text_col)), F.lower)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import boxes
-from tracewright.operators import evidence, identity, lineage
+from tracewright.operators import evidence, identity, lineage, search
 from tracewright.operators.replay import Checkpoints, replay
 from tracewright.plans import derive
 from tracewright.plans.folds import _POISON_SQL
@@ -113,7 +113,18 @@ def _manifests(s, d) -> DataFrame:
     return evidence.child_manifests(e.select((F.col("event_id") % 50).alias("job_id"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("user_id") % len(names)).cast("int") + 1).alias("stage")).distinct(), lineage.stage_edges(s))
 
 
+def _filtered(s, d) -> DataFrame:
+    """Mentions as search documents under five filters at once: the work, kind and language of the first one, its source's locators, and their segment."""
+    m = _mentions(s, d).where("work_id is not null and segment_id is not null and lang is not null and mention_kind is not null")
+    docs = m.select("mention_id", "source_id", "work_id", "segment_id", F.lit(None).cast("string").alias("continuity_id"), F.col("entity_id").alias("entity_ref"), F.col("mention_kind").alias("kind"), F.col("lang").alias("language"), F.concat_ws("/", F.lit("source:/"), "source_id", F.lit("text"), "segment_id").alias("locator"))
+    one = docs.agg(F.min(F.struct("work_id", "kind", "language", "source_id")).alias("x")).first()["x"]
+    if one is None:
+        return docs.limit(0).select("mention_id", "segment_id").distinct()
+    return search.filtered(docs, work_id=one.work_id, kind=one.kind, language=one.language, source_id=one.source_id, locator_prefix=f"source://{one.source_id}/").select("mention_id", "segment_id").distinct()
+
+
 QUERIES = {
+    "search_filtered": _filtered,
     "identity_fold": _identities,
     "state_alternatives": lambda s, d: identity.alternatives(derive.ledger(s, d)),
     "replay_resume": _replay,
@@ -159,6 +170,7 @@ _ID = f"""WITH {derive.LEDGER_SQL}, i0 AS (SELECT * EXCLUDE (predicate, object_r
 _BEFORE = "PARTITION BY entity, target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 SQL = {
+    "search_filtered": "WITH m AS (SELECT * FROM source_mention WHERE work_id IS NOT NULL AND segment_id IS NOT NULL AND lang IS NOT NULL AND mention_kind IS NOT NULL), x AS (SELECT * FROM m ORDER BY work_id, mention_kind, lang, source_id NULLS FIRST LIMIT 1) SELECT DISTINCT m.mention_id, m.segment_id FROM m, x WHERE m.work_id = x.work_id AND m.mention_kind = x.mention_kind AND m.lang = x.lang AND m.source_id = x.source_id",
     "identity_fold": _ID,
     "state_alternatives": _ST + f""", h AS (SELECT *, last_value(CASE WHEN valued THEN struct_pack(v := ob) END IGNORE NULLS) OVER ({_BEFORE}) AS po, last_value(CASE WHEN au IS NOT NULL OR event_type = 'EntityResolved' THEN struct_pack(v := au) END IGNORE NULLS) OVER ({_BEFORE}) AS pa,
   last_value(s IGNORE NULLS) OVER ({_BEFORE}) AS ps, last_value(CASE WHEN (event_type = 'OverrideApplied' AND has_confidence) OR (event_type IN ('SemanticAsserted', 'EntityResolved') AND confidence IS NOT NULL) THEN struct_pack(v := confidence) END IGNORE NULLS) OVER ({_BEFORE}) AS pc, lag(seq) OVER (PARTITION BY entity, target ORDER BY seq) AS was_seq FROM c2)

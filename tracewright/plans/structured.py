@@ -95,6 +95,12 @@ def page(df: DataFrame, keys: list[str], limit: int, offset: int) -> DataFrame:
     return df.orderBy(*keys).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, keys: list[str], limit: int, offset: int) -> DataFrame:
+    """A page, and in `total` how many rows there are on all pages."""
+    total = df.agg(F.count("*").alias("total"))  # one row
+    return page(df, keys, limit, offset).crossJoin(F.broadcast(total))
+
+
 _SCOPES = {
     "ENTITY": {"work_id", "source_id", "continuity_id"}, "UTTERANCE": {"scope"}, "SCENE": {"source_id"}, "EVIDENCE": {"source_id"},
     "CORRESPONDENCE": {"continuity_id"}, "CONTRADICTIONS": {"scope"}, "UNRESOLVED_ALIASES": {"source_id", "work_id"}, "TRAVERSAL": {"scope"}, "RELATIONSHIP_EDGES": {"scope"},
@@ -167,9 +173,11 @@ def structured(tables: Mapping[str, DataFrame], q: StructuredQuery, paged: bool
 
 # --- questions ------------------------------------------------------------
 
-#: The forms of a question and the kind of query each asks for, in order.
+#: The forms of a question and the kind of query each asks for; the first that fits counts.
 RULES = (
     (r"\bwhat\s+(?:did|does)\s+(?P<ref>.+?)\s+say\b|\bquotes?\s+(?:of|by)\s+(?P<ref2>.+?)\s*\??$", "UTTERANCE"),
+    (r"\bwhat\s+(?P<predicate>emotion)\s+(?:does|did)\s+(?P<ref>.+?)\s+(?:feel|have)\b", "RELATIONSHIP_EDGES"),
+    (r"\brelationships?\s+between\s+(?P<ref>.+?)\s+and\s+(?P<object>.+?)\s*\??$", "RELATIONSHIP_EDGES"),
     (r"\b(?:contradict\w*|conflict\w*)\b(?:.*?\b(?:about|for|on)\s+(?P<ref>.+?))?\s*\??$", "CONTRADICTIONS"),
     (r"\bunresolved\b|\bunknown\s+(?:names|aliases)\b", "UNRESOLVED_ALIASES"),
     (r"\b(?:evidence|sources?)\s+(?:for|of)\s+(?P<ref>.+?)\s*\??$", "EVIDENCE"),
@@ -192,5 +200,6 @@ def compile_question(text: str) -> StructuredQuery | None:
             return StructuredQuery(kind, locator=re.escape(ref) if ref else None)
         if kind == "UNRESOLVED_ALIASES":
             return StructuredQuery(kind)
-        return StructuredQuery(kind, ref=ref)
+        other = (groups.get("object") or "").strip(" \"'?.") or None
+        return StructuredQuery(kind, ref=ref, object_ref=other, predicate="HAS_EMOTION" if groups.get("predicate") else None)
     return None

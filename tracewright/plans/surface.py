@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import audit, edges, lineage, state
 from tracewright.plans import derive
-from tracewright.plans.structured import StructuredQuery, structured
+from tracewright.plans.structured import StructuredQuery, page_with_total, structured
 
 
 def tables(s, d) -> dict[str, DataFrame]:
@@ -46,6 +46,14 @@ def _jobs(s, d) -> DataFrame:
     return lineage.job_status(last.select("job_id", "stage", F.expr("CASE WHEN t = 'error' AND job_id % 3 = 0 THEN 'FAILED' WHEN t IN ('click', 'view', 'error') THEN 'COMPLETE' ELSE 'RUNNING' END").alias("status")))
 
 
+def _scoped(s, d) -> DataFrame:
+    """The entities of one work that one of its sources tells of: both must stand in one membership."""
+    m = s.read.parquet(f"{d}/source_mention.parquet").where("work_id is not null")
+    at = m.agg(F.min(F.struct("work_id", "source_id")).alias("x")).first()["x"]
+    q = StructuredQuery("ENTITY", work_id=at.work_id, source_id=at.source_id) if at else StructuredQuery("ENTITY", work_id="")
+    return structured(tables(s, d), q, False).select("entity_ref", "display_label")
+
+
 def _start(s, d) -> DataFrame:
     return _links(s, d).agg(F.min("subject").alias("ref"))
 
@@ -62,6 +70,8 @@ QUERIES = {
     "q_entity_name": _ask(StructuredQuery("ENTITY", name="ar"), ["entity_ref", "display_label"], False),
     "q_entity_alias": _ask(StructuredQuery("ENTITY", alias="the silent badger"), ["entity_ref", "display_label"], False),
     "q_entity_scope_tuple": lambda s, d: structured(t := tables(s, d), StructuredQuery("ENTITY"), False).select("entity_ref", F.explode("tuples").alias("t")).groupBy("entity_ref", "t.work_id").agg(F.count("*").alias("sources")),
+    "q_entity_total": lambda s, d: page_with_total(structured(tables(s, d), StructuredQuery("ENTITY"), False).select("entity_ref", "display_label"), ["entity_ref"], 20, 40),
+    "q_entity_scoped": _scoped,
     "q_utterance": _ask(StructuredQuery("UTTERANCE", min_confidence=0.3), ["subject", "object_ref", "scope", "relationship_type", "origin", "seq", "confidence", "result_kind"], False),
     "q_scene": _ask(StructuredQuery("SCENE", start=10.0, end=60.0), ["id", "source_id", "start_s", "end_s"], False),
     "q_evidence": _ask(StructuredQuery("EVIDENCE", locator="/text/p[0-9]$|/TEXT/p1"), ["locator", "source_id"], False),
@@ -98,6 +108,8 @@ SQL = {
     "q_entity_name": f"WITH {_EN} SELECT entity_ref, display_label FROM en WHERE contains(lower(display_label), 'ar')",
     "q_entity_alias": f"WITH {_EN} SELECT entity_ref, display_label FROM en WHERE len(list_filter(aliases, lambda a: lower(a) = 'the silent badger')) > 0",
     "q_entity_scope_tuple": f"WITH {_EN}, {_TU} SELECT entity_ref, work_id, count(*) AS sources FROM en JOIN tu USING (work_id) GROUP BY 1, 2",
+    "q_entity_total": f"WITH {_EN} SELECT entity_ref, display_label, (SELECT count(*) FROM en) AS total FROM en ORDER BY entity_ref LIMIT 20 OFFSET 40",
+    "q_entity_scoped": f"WITH {_EN}, {_TU}, w AS (SELECT min(work_id) AS w FROM tu), x AS (SELECT w, min(source_id) AS s FROM tu, w WHERE work_id = w GROUP BY w) SELECT entity_ref, display_label FROM en WHERE work_id = (SELECT w FROM x) AND EXISTS (SELECT 1 FROM tu, x WHERE tu.work_id = x.w AND tu.source_id = x.s)",
     "q_utterance": _ED + "SELECT subject, object_ref, scope, relationship_type, origin, seq, confidence, CASE WHEN authority = 'USER_OVERRIDE' THEN 'INTERPRETATION' ELSE 'SOURCE_EVIDENCE' END AS result_kind FROM ed WHERE active AND predicate = 'SPEAKS' AND confidence >= 0.3",
     "q_scene": "SELECT boundary_id AS id, source_id, start_s, end_s FROM scene_boundary WHERE end_s >= 10.0 AND start_s <= 60.0",
     "q_evidence": "SELECT locator, regexp_extract(locator, '^source://([^/]+)/', 1) AS source_id FROM (SELECT DISTINCT unnest(support_refs) AS locator FROM semantic_assertion) WHERE regexp_matches(locator, '/text/p[0-9]$|/TEXT/p1', 'i')",
