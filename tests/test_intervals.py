@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracewright.operators import intervals
 from tracewright.operators.intervals import millis, periods_and_gaps, unite
@@ -78,3 +79,15 @@ def test_tree_of_two_levels(spark, monkeypatch):
     rows = [("k", i % 2, i * 3 % 500, i * 3 % 500 + i % 4) for i in range(600)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], S).repartition(9)
     assert sorted((tuple(r) for r in periods_and_gaps(df, ["a", "b"], "s", "e", 50).collect()), key=repr) == sweep(rows)
+
+
+def test_lists_over_several_batches(spark):
+    rows = [(f"t{i % 7}", i % 2, i * 3 % 900, i * 3 % 900 + i % 5) for i in range(800)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], S).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        # a key that is never null and one that may be: both go from batch to batch
+        got = periods_and_gaps(df.withColumn("kind", F.lit("x")), ["kind", "a", "b"], "s", "e", 50)
+        assert sorted((tuple(r)[1:] for r in got.collect()), key=repr) == sweep(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -87,6 +87,11 @@ def _lists(table: pa.Table, keys: int, start: np.ndarray, end: np.ndarray, row:
     return pa.table([*head, pa.ListArray.from_arrays(offsets, pa.array(s)), pa.ListArray.from_arrays(offsets, pa.array(e))], names=[*table.column_names[:keys], "starts", "ends"])
 
 
+def _as(lists: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The same rows under a schema that differs only in nullability and the names of list elements."""
+    return pa.table([c.cast(f.type) for c, f in zip(lists.columns, schema)], schema=schema)
+
+
 def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = (table.column(c).combine_chunks() for c in ("starts", "ends"))
     return a.flatten().to_numpy(zero_copy_only=False), b.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(a)), a.value_lengths().to_numpy(zero_copy_only=False))
@@ -133,7 +138,8 @@ def _merged(lists: DataFrame, keys: list[str]) -> DataFrame:
             if not len(batch):
                 continue
             t = pa.Table.from_batches([batch])
-            t = t if open_ is None else pa.concat_tables([open_, t]).combine_chunks()
+            # batches name and type their columns as Spark does; the last list goes on as one of them
+            t = t if open_ is None else pa.concat_tables([_as(open_, t.schema), t]).combine_chunks()
             t = _lists(t, n, *_flat(t))
             yield from t.slice(0, len(t) - 1).to_batches()
             open_ = t.slice(len(t) - 1)
