@@ -1,6 +1,12 @@
 """Names: the comparison on written-out cases, the curve, and links of a small work."""
 
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
 from tracewright.llm import names as N
+from tracewright.session import written
 
 SHORT = {"rebecca": {"becky"}}
 
@@ -77,3 +83,43 @@ def test_kinds_of_organisations_are_learned(spark):
     reg = [("e1", "w", "Joorn Rope Guild", [], True), ("e2", "v", "Prann Bell Guild", [], True)]
     men = [("w", "Joorn Rope", None), ("w", "Joorn Rope Guild", None), ("w", "Joorn Bell Guild", None), ("w", "Joorn", None)]
     assert run(spark, reg, men) == {0: "e1", 1: "e1"}
+
+
+def test_short_forms_that_are_no_names(spark):
+    reg = spark.createDataFrame([("e1", "w", "Rebecca Stardley", [], False, "x")], REG)
+    men = spark.createDataFrame([("0", "w", "Becky Stardley", None, "clash")], MEN)
+    short = spark.createDataFrame([("Rebecca", "Becky"), ("Rebecca", "She"), ("", "Becky"), ("Philip", None)], "given_name string, short_form string")
+    assert [tuple(r) for r in N.link_mentions(men, reg, short).select("mention_id", "entity_ref").collect()] == [("0", "e1")]
+
+
+def test_nothing_that_grows_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(N, "written", kept)
+    reg = [(f"e{i}", "w", f"Rebecca Stardley{i}", [], False) for i in range(20)]
+    run(spark, reg, [("w", f"Becky Stardley{i}", None) for i in range(20)])
+    fits = [p for name, p in plans if name in ("round", "near", "met", "fits")]
+    assert fits and not any("Broadcast" in p for p in fits)
+
+
+def test_bands_in_rounds_and_letters(spark):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdé") for _ in range(n))
+    words = [word(r.randrange(1, 12)) for _ in range(300)] + ["x" * 70_000, "漢字"]
+    cuts = [N.BANDS * k // N.ROUNDS for k in range(N.ROUNDS + 1)]
+    assert (np.hstack([N.band_hashes(words, a, b) for a, b in zip(cuts, cuts[1:])]) == N.band_hashes(words)).all()
+    assert all(tuple(x) == N.bands(w) for x, w in zip(N.band_hashes(words).tolist(), words))
+
+    def typo(w):
+        i, k = r.randrange(len(w)), r.randrange(4)
+        return [w[:i] + w[i + 1 :], w[:i] + r.choice("abcdé") + w[i:], w[:i] + r.choice("abcdé") + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]][k]
+
+    pairs = [(w, typo(typo(w) or "a")) for w in (word(r.randrange(2, 14)) for _ in range(3000))] + [(w, typo(w)) for w in (word(r.randrange(2, 9)) for _ in range(1000))]
+    pairs = [(a, b) for a, b in pairs if N.edits(a, b) <= (2 if max(len(a), len(b)) >= 8 else 1)]
+    rows = [(a, b, int(x).bit_count()) for (a, b), x in zip(pairs, N.letter_sets([a for a, _ in pairs]) ^ N.letter_sets([b for _, b in pairs]))]
+    df = spark.createDataFrame(rows, "u string, v string, n int")
+    assert len(rows) > 2000 and df.where(~N._edited(F.col("u"), F.col("v"), F.col("n"))).count() == 0

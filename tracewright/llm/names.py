@@ -27,14 +27,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import written
+from tracewright.session import discard, written
 
 TITLES = frozenset(
     "mr mrs ms miss mister missus mx dr doctor prof professor sir lady lord dame madam madame rev revd reverend capt captain col colonel maj major "
@@ -230,21 +230,49 @@ def bands_for(similarity: float, recall: float, rows: int = 2) -> int:
 #: One edit in a word of five letters leaves 4 of 8 padded bigrams: a similarity of 0.5.
 ROWS = 2
 BANDS = bands_for(0.5, 0.995, ROWS)
+#: The bands meet in so many rounds one after the other, and only the rows of one round lie in a shuffle.
+ROUNDS = 3
 _P = np.uint64((1 << 61) - 1)
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64)
 _B = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
 
 
-@lru_cache(maxsize=200_000)
+#: Letters of words whose hashes are held at once.
+_LETTERS = 1 << 16
+
+
+def band_hashes(units: list[str], lo: int = 0, hi: int = BANDS) -> np.ndarray:
+    """The hashes of bands lo to hi of each word's padded bigrams, a row for each word."""
+    a, b = _A[lo * ROWS : hi * ROWS], _B[lo * ROWS : hi * ROWS]
+    size = np.array([len(u) + 2 for u in units], dtype=np.int64)
+    out, at = [np.zeros((0, hi - lo), dtype=np.int64)], 0
+    upto = np.cumsum(size)
+    while at < len(units):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _LETTERS, "right")))
+        c = np.frombuffer("".join(f"#{u}$" for u in units[at:to]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        grams = (c[:-1] * np.uint64(65_599) + c[1:]) % np.uint64(2_147_483_647)
+        ends = np.cumsum(size[at:to])
+        grams = np.delete(grams, ends[:-1] - 1)  # of two words
+        first = ends - size[at:to] - np.arange(to - at)
+        h = np.minimum.reduceat((grams[:, None] * a + b) % _P, first, axis=0).reshape(-1, hi - lo, ROWS)
+        x = (h[:, :, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[:, :, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+        out.append((x ^ (np.arange(lo, hi, dtype=np.uint64) << np.uint64(57))).view(np.int64))
+        at = to
+    return np.concatenate(out)
+
+
+def letter_sets(units: list[str]) -> np.ndarray:
+    """The letters of each word as bits; letters may share a bit, so no letter shows as a change that is none."""
+    size = np.array([len(u) + 1 for u in units], dtype=np.int64)
+    c = np.frombuffer("".join(f"{u}#" for u in units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bit = np.left_shift(np.int32(1), (c % 31).astype(np.int32), dtype=np.int32)
+    return np.bitwise_or.reduceat(bit, np.cumsum(size) - size) if len(units) else bit
+
+
 def bands(unit: str) -> tuple[int, ...]:
-    """The band hashes of a word's padded bigrams."""
-    s = f"#{unit}$"
-    grams = np.array([(ord(a) * 65_599 + ord(b)) % 2_147_483_647 for a, b in zip(s, s[1:])], dtype=np.uint64)
-    h = ((grams[:, None] * _A + _B) % _P).min(axis=0).reshape(BANDS, ROWS)
-    x = (h[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
-    x ^= np.arange(BANDS, dtype=np.uint64) << np.uint64(57)
-    return tuple(int(v) for v in x.view(np.int64))
+    """The band hashes of one word."""
+    return tuple(band_hashes([unit])[0].tolist())
 
 
 def units(words: list[str], names: bool, short: dict[str, set[str]] | None = None, organisation: bool = False) -> set[str]:
@@ -265,6 +293,12 @@ def units(words: list[str], names: bool, short: dict[str, set[str]] | None = Non
     return out
 
 
+def _meet(a: DataFrame, b: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the input, by sorting. Spark takes the size of their files for that of the rows that
+    an explode or an Arrow function makes of them, and would send all of these through the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _cut(rows: DataFrame, side: str) -> DataFrame:
     """rows: work_id, id, words, short, organisation. (work_id, id, unit)."""
 
@@ -281,16 +315,29 @@ def _cut(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("work_id", "id", "words", "short", "organisation").mapInArrow(run, "work_id string, id string, unit string")
 
 
-def _banded(rows: DataFrame) -> DataFrame:
-    """rows: work_id, unit, distinct. (work_id, unit, band)."""
+def _banded(rows: DataFrame, unit: str, keep: list[str], lo: int, hi: int) -> DataFrame:
+    """rows: work_id, unit, distinct. band (a number that tells the band's hash and the work), the columns to keep and letters_<unit>, a row for each band from lo to hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bands(u) for u in batch.column(1).to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(got)), BANDS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([b for g in got for b in g], pa.int64())], names=["work_id", "unit", "band"])
+            words = batch.column(1).to_pylist()
+            key = band_hashes(words, lo, hi) ^ batch.column(0).to_numpy()[:, None]
+            take = pa.array(np.repeat(np.arange(len(key)), hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(batch.column(k).take(take) for k in keep), pa.array(letter_sets(words)).take(take)], names=["band", *keep, f"letters_{unit}"])
+
+    return rows.select(F.xxhash64("work_id").alias("w_"), unit, *[k for k in keep if k != unit]).mapInArrow(run, "band bigint, " + ", ".join(f"{k} string" for k in keep) + f", letters_{unit} int")
 
-    return rows.mapInArrow(run, "work_id string, unit string, band bigint")
+
+def _edited(u: Column, v: Column, changed: Column) -> Column:
+    """Whether words may be as near as `edits` must find them: 1 edit in words of less than 8 letters, else 2.
+
+    changed: the number of letters that only one of the two words has, at most; an edit changes two. A swap of neighbours is two
+    of Levenshtein's edits and changes none.
+    """
+    within = lambda n: F.levenshtein(u, v, n) >= 0
+    one = F.when(changed == 0, within(2)).when(changed <= 2, within(1)).otherwise(False)
+    two = F.when(changed == 0, within(4)).when(changed <= 2, within(3)).when(changed <= 4, within(2)).otherwise(False)
+    return (F.abs(F.length(u) - F.length(v)) <= 2) & F.when(F.greatest(F.length(u), F.length(v)) < 8, one).otherwise(two)
 
 
 def fits(spellings: DataFrame, names: DataFrame) -> DataFrame:
@@ -304,24 +351,35 @@ def fits(spellings: DataFrame, names: DataFrame) -> DataFrame:
     n = written(_cut(names, "name"), "units")
     # pairs of words before pairs of names: a word is compared once, however many names have it
     u, v = F.col("u"), F.col("v")
-    su, nu = s.select("work_id", F.col("unit").alias("u")).distinct(), n.select("work_id", F.col("unit").alias("v")).distinct()
-    near = _banded(su).withColumnRenamed("unit", "u").join(_banded(nu).withColumnRenamed("unit", "v"), ["work_id", "band"])
-    # a swap of neighbours is two of Levenshtein's edits, so this keeps all that `edits` accepts
-    most = F.when(F.greatest(F.length(u), F.length(v)) < 8, 2).otherwise(4)
-    near = near.where((u != v) & (F.abs(F.length(u) - F.length(v)) <= 2) & F.levenshtein(u, v, 4).between(0, most)).select("work_id", "u", "v").distinct()
+    su, nu = written(s.select("work_id", F.col("unit").alias("u")).distinct(), "words"), written(n.select("work_id", F.col("unit").alias("v")).distinct(), "words")
+    rounds = []
+    for k in range(ROUNDS):
+        lo, hi = (BANDS * x // ROUNDS for x in (k, k + 1))
+        # should two works share a number, then v is not in the work of u, and the pair is lost below
+        met = _meet(_banded(su, "u", ["u", "work_id"], lo, hi), _banded(nu, "v", ["v"], lo, hi), ["band"])
+        near = met.where((u != v) & _edited(u, v, F.bit_count(F.col("letters_u").bitwiseXOR(F.col("letters_v")))))
+        rounds.append(written(near.select("work_id", "u", "v").distinct(), "round"))
+    near = reduce(DataFrame.unionByName, rounds).distinct()
     # equal words share all bands: one row in place of as many
-    near = near.unionByName(su.join(nu.withColumn("u", F.col("v")), ["work_id", "u"], "inner").select("work_id", "u", "v"))
-    met = s.select("work_id", F.col("id").alias("spelling"), F.col("unit").alias("u")).join(near, ["work_id", "u"]).select("work_id", "spelling", "v")
-    met = met.join(n.select("work_id", F.col("id").alias("name"), F.col("unit").alias("v")), ["work_id", "v"]).select("work_id", "spelling", "name").distinct()
-    pairs = met.join(spellings.select("work_id", F.col("id").alias("spelling"), "words", "given"), ["work_id", "spelling"]).join(
-        names.select("work_id", F.col("id").alias("name"), "owner", F.col("words").alias("name_words"), "short", "organisation"), ["work_id", "name"]
-    )
+    near = written(near.unionByName(_meet(su, nu.withColumn("u", F.col("v")), ["work_id", "u"]).select("work_id", "u", "v")), "near")
+    met = _meet(s.select("work_id", F.col("id").alias("spelling"), F.col("unit").alias("u")), near, ["work_id", "u"]).select("work_id", "spelling", "v")
+    met = _meet(met, n.select("work_id", F.col("id").alias("name"), F.col("unit").alias("v")), ["work_id", "v"]).select("work_id", "spelling", "name").distinct()
+    met = written(met, "met")
+    for x in (s, n, su, nu, *rounds, near):
+        discard(x)
+    pairs = _meet(met, spellings.select("work_id", F.col("id").alias("spelling"), "words", "given"), ["work_id", "spelling"])
+    pairs = _meet(pairs, names.select("work_id", F.col("id").alias("name"), "owner", F.col("words").alias("name_words"), "short", "organisation"), ["work_id", "name"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, level, score = [], [], []
-            for k, (w, given, n, short, org) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3, 8)))):
-                f = fit(w, n, bool(org), {a: set(b) for a, b in (short or [])}, set(given or ()))
+            # rows come by names: what is told of a name is made once
+            work, name = (batch.column(c).dictionary_encode() for c in (0, 5))
+            code = work.indices.to_numpy() * np.int64(len(name.dictionary)) + name.indices.to_numpy()
+            _, first, code = np.unique(code, return_index=True, return_inverse=True)
+            told = [(n, bool(org), {a: set(b) for a, b in (short or [])}) for n, short, org in zip(*(batch.column(c).take(pa.array(first)).to_pylist() for c in (6, 7, 8)))]
+            for k, (w, given, c) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), code.tolist())):
+                f = fit(w, *told[c], set(given or ()))
                 if f:
                     keep.append(k)
                     level.append(f[0])
@@ -329,8 +387,11 @@ def fits(spellings: DataFrame, names: DataFrame) -> DataFrame:
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(level, pa.int32()), pa.array(score, pa.float64())], names=["work_id", "spelling", "owner", "level", "score"])
 
-    got = pairs.select("work_id", "spelling", "owner", "words", "given", "name_words", "short", "organisation").mapInArrow(run, "work_id string, spelling string, owner string, level int, score double")
-    return got.groupBy("work_id", "spelling", "owner").agg(F.max(F.struct("level", "score")).alias("x")).select("work_id", "spelling", "owner", "x.level", "x.score")
+    got = pairs.select("work_id", "spelling", "owner", "words", "given", "name", "name_words", "short", "organisation").mapInArrow(run, "work_id string, spelling string, owner string, level int, score double")
+    got = got.groupBy("work_id", "spelling", "owner").agg(F.max(F.struct("level", "score")).alias("x")).select("work_id", "spelling", "owner", "x.level", "x.score")
+    out = written(got, "fits")
+    discard(met)
+    return out
 
 
 # --- the operator ---------------------------------------------------------
@@ -379,14 +440,14 @@ def link_mentions(mentions: DataFrame, registry: DataFrame, short_forms: DataFra
 
     # short forms: the table, aliases, told mentions, and what recurs over works
     alone = lambda df: df.where("size(words) = 2 and length(words[0]) > 1")
-    table = _parsed(short_forms.select(F.col("given_name").alias("x"), "short_form"), "x", ["short_form"]).select(F.element_at("words", 1).alias("g"), "short_form").where("g is not null")
-    table = _parsed(table, "short_form", ["g"]).select("g", F.element_at("words", 1).alias("s")).where("s is not null")
-    told = alone(called.where("not main and not organisation")).join(persons, ["entity_ref", "work_id"]).where("words[1] = surname").select("g", F.col("words")[0].alias("s"))
-    by_id = m.where("entity_id is not null").join(texts, ["work_id", "mention_text"])
-    taught = alone(by_id).join(persons, (F.col("entity_id") == F.col("entity_ref")) & (by_id["work_id"] == persons["work_id"])).where("words[1] = surname").select("g", F.col("words")[0].alias("s"))
+    table = _parsed(short_forms.select(F.col("given_name").alias("x"), "short_form"), "x", ["short_form"]).select(F.get("words", 0).alias("g"), "short_form").where("g is not null")
+    table = _parsed(table, "short_form", ["g"]).select("g", F.get("words", 0).alias("s")).where("s is not null")
+    told = _meet(alone(called.where("not main and not organisation")), persons, ["entity_ref", "work_id"]).where("words[1] = surname").select("g", F.col("words")[0].alias("s"))
+    by_id = _meet(m.where("entity_id is not null"), texts, ["work_id", "mention_text"])
+    taught = _meet(alone(by_id), persons, (F.col("entity_id") == F.col("entity_ref")) & (by_id["work_id"] == persons["work_id"])).where("words[1] = surname").select("g", F.col("words")[0].alias("s"))
     lexicon = written(persons.select("g").unionByName(table.select("g")).distinct(), "givens")
     beside = (
-        alone(texts).join(persons.groupBy("work_id", "surname").agg(F.min("g").alias("g"), F.max("g").alias("g2")).where("g = g2"), ["work_id"])
+        _meet(alone(texts), persons.groupBy("work_id", "surname").agg(F.min("g").alias("g"), F.max("g").alias("g2")).where("g = g2"), ["work_id"])
         .where("words[1] = surname").select("work_id", "surname", "g", F.col("words")[0].alias("s")).where("g <> s").distinct()
         .join(lexicon.select(F.col("g").alias("s")), "s", "left_anti")
     )
@@ -404,23 +465,24 @@ def link_mentions(mentions: DataFrame, registry: DataFrame, short_forms: DataFra
 
     # names: the label, and aliases that are not its forms (epithets)
     label = main.select(F.col("entity_ref").alias("e"), F.col("work_id").alias("w"), F.element_at("words", -1).alias("end_"), F.element_at("words", 1).alias("start_"))
-    epithet = called.where("not main").join(label, (F.col("entity_ref") == F.col("e")) & (F.col("work_id") == F.col("w")))
+    epithet = _meet(called.where("not main"), label, (F.col("entity_ref") == F.col("e")) & (F.col("work_id") == F.col("w")))
     epithet = epithet.where(~F.arrays_overlap("words", F.array("end_", "start_")) & (F.size("words") > 1)).select("entity_ref", "work_id", "words")
     names = with_short(main.select("work_id", F.col("entity_ref").alias("owner"), "words", "organisation")).unionByName(
         epithet.select("work_id", F.col("entity_ref").alias("owner"), "words", F.lit(True).alias("organisation"), F.lit(None).cast("map<string,array<string>>").alias("short"))
     )
-    longer = called.where("not main and not organisation and size(words) > 2").join(persons, ["entity_ref", "work_id"]).where("element_at(words, -1) = surname and words[0] = g").select("work_id", F.col("entity_ref").alias("owner"), "words", F.lit(False).alias("organisation"))
+    longer = _meet(called.where("not main and not organisation and size(words) > 2"), persons, ["entity_ref", "work_id"]).where("element_at(words, -1) = surname and words[0] = g").select("work_id", F.col("entity_ref").alias("owner"), "words", F.lit(False).alias("organisation"))
     names = names.unionByName(with_short(longer)).withColumn("id", F.concat_ws(" ", "owner", F.concat_ws(" ", "words")))
     names = written(names.dropDuplicates(["work_id", "id"]), "names")
 
     spell = texts.groupBy("work_id", "id").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
     tokens = spell.select("work_id", "id", F.explode("words").alias("g")).join(lexicon.unionByName(forms.select(F.col("s").alias("g"))).distinct(), "g").groupBy("work_id", "id").agg(F.collect_set("g").alias("given"))
-    spell = written(spell.join(tokens, ["work_id", "id"], "left"), "spellings")
-    first = written(fits(spell, names), "fits")
+    spell = written(_meet(spell, tokens, ["work_id", "id"], "left"), "spellings")
+    first = fits(spell, names)
 
     # others in the work: full names that mean nobody registered
     best = first.groupBy("work_id", F.col("spelling").alias("id")).agg(F.max("level").alias("level"))
-    full = spell.where("size(words) > 1 and forall(words, w -> length(w) > 1)").join(best.where("level >= 2"), ["work_id", "id"], "left_anti")
+    full = spell.where("size(words) > 1 and forall(words, w -> length(w) > 1)")
+    full = _meet(full, best.where("level >= 2"), ["work_id", "id"], "left_anti")
     # what organisations are called by: last words that the names of several registered ones share
     kinds = main.where("organisation and size(words) > 1").groupBy(F.element_at("words", -1).alias("end_")).agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x <> y").select("end_", F.lit(True).alias("organisation"))
     full = full.where("not exists(words, w -> w rlike '[0-9]')").withColumn("end_", F.element_at("words", -1)).join(kinds, "end_", "left")
@@ -429,7 +491,7 @@ def link_mentions(mentions: DataFrame, registry: DataFrame, short_forms: DataFra
     full = full.where(F.col("organisation") | F.arrays_overlap(F.coalesce("given", F.array().cast("array<string>")), F.slice("words", 1, 1)))
     others = with_short(full.select("work_id", F.col("id").alias("owner"), "words", "organisation")).withColumn("id", F.concat(F.lit("other "), F.col("owner"))).withColumn("owner", F.concat(F.lit("other "), F.col("owner")))
     others = written(others, "others")
-    second = fits(spell.join(best.select("work_id", "id"), ["work_id", "id"], "left_semi"), others)
+    second = fits(_meet(spell, best.select("work_id", "id"), ["work_id", "id"], "left_semi"), others)
 
     # the best two of a spelling are enough to tell a tie
     order = Window.partitionBy("work_id", "spelling").orderBy(F.desc("level"), F.desc("score"), F.desc("owner"))
@@ -438,5 +500,5 @@ def link_mentions(mentions: DataFrame, registry: DataFrame, short_forms: DataFra
     star = top.groupBy("work_id", "spelling").agg(at(1).alias("best"), at(2).alias("next"))
     star = star.where(F.col("next").isNull() | (F.col("next.level") < F.col("best.level")) | (F.col("best.score") - F.col("next.score") > tie))
     star = star.where("not startswith(best.owner, 'other ')").select("work_id", F.col("spelling").alias("id"), F.col("best.owner").alias("entity_ref"))
-    linked = texts.select("work_id", "mention_text", "id").join(star, ["work_id", "id"])
-    return m.select("mention_id", "work_id", "mention_text").distinct().join(linked, ["work_id", "mention_text"]).select("mention_id", "entity_ref").distinct()
+    linked = _meet(texts.select("work_id", "mention_text", "id"), star, ["work_id", "id"])
+    return _meet(m.select("mention_id", "work_id", "mention_text").distinct(), linked, ["work_id", "mention_text"]).select("mention_id", "entity_ref").distinct()
