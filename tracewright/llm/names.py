@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import discard, written
+from tracewright.session import discard
+from tracewright.session import freed as written
 
 TITLES = frozenset(
     "mr mrs ms miss mister missus mx dr doctor prof professor sir lady lord dame madam madame rev revd reverend capt captain col colonel maj major "
